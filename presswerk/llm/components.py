@@ -38,7 +38,7 @@ def _decompose(edges: DataFrame, level: int, total: int, beta: float, rounds: in
     return materialize(state.select("node", F.col("_best.center").alias("center"), "_n"), f"clusters-{level}")
 
 
-def components(edges: DataFrame, src: str = "src", dst: str = "dst", beta: float = 0.5, rounds: int = 3, max_levels: int = 100) -> DataFrame:
+def components(edges: DataFrame, src: str = "src", dst: str = "dst", beta: float = 0.1, rounds: int = 3, max_levels: int = 100) -> DataFrame:
     """(node, component) for every vertex linked to another one; component is the smallest vertex of its component.
 
     Null ends and loops link nothing; repeated and reversed edges count once. No edges give

@@ -9,6 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from presswerk.sources.tables import table, tables
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    from presswerk.llm.history import repeated_rows
+
+    return repeated_rows(*tables(spark, folder, "articles", "pipeline_runs"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    from presswerk.llm.furniture import furniture_lines
+
+    return furniture_lines(table(spark, folder, "articles"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    from presswerk.llm.residue import residue_pages
+
+    return residue_pages(table(spark, folder, "articles"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     from presswerk.llm.components import duplicate_group_keys
 
@@ -21,6 +39,12 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_lines(table(spark, folder, "articles"))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    from presswerk.llm.language import wrong_labels
+
+    return wrong_labels(table(spark, folder, "articles"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     from presswerk.llm.tokenizer import encode_corpus
 
@@ -33,8 +57,14 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_items(*tables(spark, folder, "documents", "eval_passages"))
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    from presswerk.llm.mojibake import garbled_documents
+
+    return garbled_documents(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p6_found, p8_ids, p9_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p6_found, p7_found, p8_ids, p9_found, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
