@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from presswerk.plans import reports, selection, texts
 from presswerk.sources.tables import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,8 +19,8 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p5_found": p5_found}
+    return {"p5_found": p5_found, **texts.QUERIES, **reports.QUERIES, **selection.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**texts.SQL, **reports.SQL, **selection.SQL}
