@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,26 +35,26 @@ def alike(a: Column, b: Column, threshold: float = 0.3, least: int = 2) -> Colum
 
 
 def simhash(df: DataFrame, key: str, text: str, out: str = "simhash") -> DataFrame:
-    """df with the 64-bit SimHash of the words' triples: the sign of each bit's votes over their MD5.
+    """(key, out): the 64-bit SimHash of the words' triples, the sign of each bit's votes over their MD5.
 
-    Texts of fewer than three words have none (null). The votes are counted by bit in one pass
-    over the array of hashes, without exploding rows.
+    Texts of fewer than three words have none (null). An Arrow batch at a time: as a column
+    expression the 64 votes of each triple would be 64 passes over the text.
     """
-    words = F.filter(F.split(F.lower(df[text]), r"\s+"), lambda w: w != "")
-    triples = F.transform(F.sequence(F.lit(1), F.size("_w") - 2), lambda i: F.concat_ws(" ", F.slice("_w", i, 3)))
-    halves = F.transform(triples, lambda t: F.struct(F.conv(F.substring(F.md5(t), 17, 8), 16, 10).cast("bigint").alias("high"), F.conv(F.substring(F.md5(t), 25, 8), 16, 10).cast("bigint").alias("low")))
-    with_words = df.withColumn("_w", words)
-    hashed = with_words.withColumn("_h", F.when(F.size("_w") >= 3, halves))
-
-    def bits(half: str) -> Column:
-        def bit(b: int) -> Column:
-            votes = F.aggregate("_h", F.lit(0), lambda s, h: s + F.shiftright(h[half], b).bitwiseAND(F.lit(1)).cast("int"))
-            return F.when(votes * 2 > F.size("_h"), F.lit(1 << b)).otherwise(F.lit(0).cast("bigint"))
-
-        total = bit(0)
-        for b in range(1, 32):
-            total = total + bit(b)
-        return total
-
-    value = F.shiftleft(bits("high"), 32).bitwiseOR(bits("low"))
-    return hashed.withColumn(out, F.nullif(value, F.lit(0).cast("bigint"))).drop("_w", "_h")
+    kind = dict(df.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = [simhash_of(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], names=[key, out])
+
+    return df.select(key, F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, `{out}` bigint")
+
+
+def simhash_of(text: str | None) -> int | None:
+    words = (text or "").lower().split()
+    if len(words) < 3:
+        return None
+    digests = b"".join(hashlib.md5(" ".join(words[i : i + 3]).encode()).digest()[8:] for i in range(len(words) - 2))
+    votes = np.unpackbits(np.frombuffer(digests, np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    value = int(np.packbits(votes * 2 > len(words) - 2).view(">i8")[0])
+    return value or None

@@ -28,7 +28,7 @@ def truncate(text: Column, most: int, suffix: str = "...") -> Column:
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def count_words(text: Column) -> Column:
@@ -92,7 +92,7 @@ def content_fingerprint(content: Column) -> Column:
 
 
 def split_list(text: Column, sep: str = ",") -> Column:
-    return F.filter(F.transform(F.split(text, sep), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, sep), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def icon_entity(icon: Column, fallback: str = "&#8226;") -> Column:

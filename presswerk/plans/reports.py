@@ -248,8 +248,8 @@ def recommendations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""SELECT CAST(digest_date AS VARCHAR) AS day, digest_version AS version, articles FROM (
-          SELECT digest_date, digest_version, count(*) AS articles, row_number() OVER (PARTITION BY digest_date ORDER BY digest_version DESC) AS r
-          FROM articles WHERE digest_date IS NOT NULL GROUP BY ALL) WHERE r = 1""")
+          SELECT *, row_number() OVER (PARTITION BY digest_date ORDER BY digest_version DESC) AS r FROM (
+          SELECT digest_date, digest_version, count(*) AS articles FROM articles WHERE digest_date IS NOT NULL GROUP BY ALL)) WHERE r = 1""")
 def latest_version(spark: SparkSession, folder: str) -> DataFrame:
     versions = table(spark, folder, "articles").filter("digest_date IS NOT NULL").groupBy("digest_date", "digest_version").agg(F.count("*").alias("articles"))
     return latest_row(versions, ["digest_date"], ["digest_version"]).select(F.col("digest_date").cast("string").alias("day"), F.col("digest_version").alias("version"), "articles")

@@ -181,9 +181,10 @@ def company_like(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""WITH e AS ({_EXACT}), rest AS (SELECT DISTINCT name FROM {_MENTIONS} WHERE name NOT IN (SELECT name FROM e)), l AS ({_LIKE % "rest"})
-           SELECT *, 'exact' AS how FROM e UNION ALL SELECT *, 'like' FROM l UNION ALL SELECT name, NULL, NULL, 'none' FROM rest WHERE name NOT IN (SELECT name FROM l)""")
+           SELECT *, 'exact' AS how FROM e UNION ALL SELECT *, 'like' FROM l UNION ALL SELECT name, -1, '', 'none' FROM rest WHERE name NOT IN (SELECT name FROM l)""")
 def company_resolved(spark: SparkSession, folder: str) -> DataFrame:
-    return matching.company_resolve(*_company_tables(spark, folder))
+    found = matching.company_resolve(*_company_tables(spark, folder))
+    return found.select("name", F.coalesce("company_id", F.lit(-1)).alias("company_id"), F.coalesce("company", F.lit("")).alias("company"), "how")
 
 
 @query("""SELECT id, canonical, source FROM (SELECT a.id, g.canonical_url_hash AS canonical, a.source, row_number() OVER (PARTITION BY g.canonical_url_hash ORDER BY a.feed_priority, a.id) AS r

@@ -32,7 +32,7 @@ def query(sql: str | None = None):  # noqa: ANN201
 
 _TRACK = ", ".join(f"'{t}'" for t in U.TRACKING)
 _PATH = r"regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)"
-_QUERY = r"list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), p -> regexp_matches(p, '^[^=]+=.+') AND lower(split_part(p, '=', 1)) NOT IN (" + _TRACK + "))"
+_QUERY = r"list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda p: regexp_matches(p, '^[^=]+=.+') AND lower(split_part(p, '=', 1)) NOT IN (" + _TRACK + "))"
 _URL = rf"regexp_replace(lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) || {_PATH} || CASE WHEN len({_QUERY}) > 0 THEN '?' || array_to_string({_QUERY}, '&') ELSE '' END, '/$', '')"
 
 
@@ -47,7 +47,7 @@ def domain_counts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "articles").groupBy(U.domain(F.col("url")).alias("domain")).agg(F.count("*").alias("n"))
 
 
-@query(rf"SELECT id, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower({_PATH}), '[/\-_.]'), t -> length(t) >= 3 AND NOT regexp_matches(t, '^\d+$')))), ' ') AS tokens FROM articles")
+@query(rf"SELECT id, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower({_PATH}), '[/\-_.]'), lambda t: length(t) >= 3 AND NOT regexp_matches(t, '^\d+$')))), ' ') AS tokens FROM articles")
 def slug_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "articles").select("id", F.array_join(F.array_sort(U.slug_tokens(F.col("url"))), " ").alias("tokens"))
 
@@ -62,7 +62,7 @@ def content_fingerprint_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(r"""SELECT doc_id, CASE WHEN length(title) <= 40 THEN title ELSE substr(title, 1, 37) || '...' END AS short,
-           CAST(len(list_filter(regexp_split_to_array(text, '\s+'), w -> w <> '')) AS INTEGER) AS words,
+           CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS INTEGER) AS words,
            regexp_replace(translate(regexp_replace(title, '[<>:"/\\|?*]', '', 'g'), ' ', '_'), '$', '') AS filename,
            lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS domain FROM documents WHERE text IS NOT NULL AND title IS NOT NULL AND length(title) < 200""")
 def text_scalars(spark: SparkSession, folder: str) -> DataFrame:
@@ -72,7 +72,7 @@ def text_scalars(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _STOP = ", ".join("'" + s.replace("'", "''") + "'" for s in sorted(set(X.STOP_WORDS)))
-_TOKENS = rf"list_sort(list_distinct(list_filter(regexp_extract_all(lower(title), '[\p{{L}}\p{{N}}_\p{{M}}]+'), t -> length(t) >= 3 AND t NOT IN ({_STOP}))))"
+_TOKENS = rf"list_sort(list_distinct(list_filter(regexp_extract_all(lower(title), '[\p{{L}}\p{{N}}_\p{{M}}]+'), lambda t: length(t) >= 3 AND t NOT IN ({_STOP}))))"
 _KSTOP = ", ".join(f"'{s}'" for s in sorted(set(X.KEYWORD_STOP_WORDS)))
 
 
@@ -95,7 +95,7 @@ def title_jaccard_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.withColumn("similarity", F.round("similarity", 6))
 
 
-_KEYWORDS = rf"list_sort(list_distinct(list_filter(regexp_extract_all(lower(title), '[\p{{L}}\p{{N}}_]+'), t -> length(t) > 3 AND regexp_matches(t, '^[a-zäöüß]+$') AND t NOT IN ({_KSTOP}))))"
+_KEYWORDS = rf"list_sort(list_distinct(list_filter(regexp_extract_all(lower(title), '[\p{{L}}\p{{N}}_]+'), lambda t: length(t) > 3 AND regexp_matches(t, '^[a-zäöüß]+$') AND t NOT IN ({_KSTOP}))))"
 
 
 @query(_jaccard_sql(_KEYWORDS, "(SELECT * FROM documents WHERE title IS NOT NULL)", "doc_id", 0.8))
@@ -105,7 +105,7 @@ def keyword_jaccard_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.withColumn("similarity", F.round("similarity", 6))
 
 
-_SLUG = rf"list_sort(list_distinct(list_filter(regexp_split_to_array(lower({_PATH}), '[/\-_.]'), t -> length(t) >= 3 AND NOT regexp_matches(t, '^\d+$'))))"
+_SLUG = rf"list_sort(list_distinct(list_filter(regexp_split_to_array(lower({_PATH}), '[/\-_.]'), lambda t: length(t) >= 3 AND NOT regexp_matches(t, '^\d+$'))))"
 
 
 @query(_jaccard_sql(_SLUG, "articles", "id", 0.8))
@@ -115,10 +115,10 @@ def slug_jaccard_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.withColumn("similarity", F.round("similarity", 6))
 
 
-_WORDS = r"list_filter(regexp_split_to_array(lower(content), '\s+'), w -> w <> '')"
-_BITS = " + ".join(f"CASE WHEN 2 * list_sum(list_transform(h, x -> CAST((x >> {b}) & 1 AS INTEGER))) > len(h) THEN CAST({1 << b} AS HUGEINT) ELSE 0 END" for b in range(64))
+_WORDS = r"list_filter(regexp_split_to_array(lower(content), '\s+'), lambda w: w <> '')"
+_BITS = " + ".join(f"CASE WHEN 2 * list_sum(list_transform(h, lambda x: CAST((x >> {b}) & 1 AS INTEGER))) > len(h) THEN CAST({1 << b} AS HUGEINT) ELSE 0 END" for b in range(64))
 _SIM = rf"""SELECT id, CASE WHEN v >= 9223372036854775808 THEN CAST(v - 18446744073709551616 AS BIGINT) ELSE CAST(v AS BIGINT) END AS simhash FROM (
-            SELECT id, {_BITS} AS v FROM (SELECT id, list_transform(range(1, len(w) - 1), i -> CAST('0x' || substr(md5(array_to_string(w[i:i+2], ' ')), 17, 16) AS UBIGINT)) AS h
+            SELECT id, {_BITS} AS v FROM (SELECT id, list_transform(range(1, len(w) - 1), lambda i: CAST('0x' || substr(md5(array_to_string(w[i:i+2], ' ')), 17, 16) AS UBIGINT)) AS h
             FROM (SELECT id, {_WORDS} AS w FROM articles WHERE summary IS NOT NULL) WHERE len(w) >= 3)) WHERE v <> 0"""
 
 
@@ -139,12 +139,12 @@ def simhash_near_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0)
           SELECT query, match, similarity FROM (SELECT q.vec_id AS query, e.vec_id AS match, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 5) AS similarity
-          FROM q JOIN embeddings e ON e.vec_id <> q.vec_id) WHERE similarity >= 0.5""")
+          FROM q JOIN embeddings e ON e.vec_id <> q.vec_id) WHERE similarity >= 0.3""")
 def cosine_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Stated queries (every id divisible by 50) against all vectors."""
     e = table(spark, folder, "embeddings")
-    found = matching.similar_vectors(e.filter("vec_id % 50 = 0"), e, "vec_id", "embedding", 0.49)
-    return found.withColumn("similarity", F.round("similarity", 5)).filter("similarity >= 0.5")
+    found = matching.similar_vectors(e.filter("vec_id % 50 = 0"), e, "vec_id", "embedding", 0.29)
+    return found.withColumn("similarity", F.round("similarity", 5)).filter("similarity >= 0.3")
 
 
 @query("""SELECT id, round(least(1.0, CASE WHEN n < 500 THEN n / 500 * 0.4 WHEN n < 1500 THEN 0.2 + (n - 500) / 1000 * 0.2 WHEN n <= 5000 THEN 0.4 ELSE greatest(0.2, 0.4 - (n - 5000) / 20000 * 0.2) END
@@ -182,13 +182,13 @@ def json_config(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pipeline_runs").select("run_id", F.try_parse_json("config_snapshot").isNotNull().alias("valid"))
 
 
-@query("""SELECT id, sha256(lower(trim(title)) || '|' || lower(trim(url))) AS key, array_to_string(list_filter(list_transform(string_split(title, ','), x -> trim(x)), x -> x <> ''), ';') AS parts FROM articles""")
+@query("""SELECT id, sha256(lower(trim(title)) || '|' || lower(trim(url))) AS key, array_to_string(list_filter(list_transform(string_split(title, ','), lambda x: trim(x)), lambda x: x <> ''), '; ') AS parts FROM articles""")
 def classification_keys(spark: SparkSession, folder: str) -> DataFrame:
     t = F.col("title")
-    return table(spark, folder, "articles").select("id", X.classification_key(t, F.col("url")).alias("key"), F.array_join(X.split_list(t), ";").alias("parts"))
+    return table(spark, folder, "articles").select("id", X.classification_key(t, F.col("url")).alias("key"), F.array_join(X.split_list(t), "; ").alias("parts"))
 
 
-@query("""SELECT id, array_to_string(list_filter(entities.companies, x -> NOT contains(lower(x), 'immobilien')), '|') AS companies,
+@query("""SELECT id, array_to_string(list_filter(entities.companies, lambda x: NOT contains(lower(x), 'immobilien')), '|') AS companies,
           array_to_string(list_slice(list_concat(list_slice(entities.topics, 1, 2), list_slice(entities.companies, 1, 1)), 1, 3), '|') AS keywords, array_to_string(list_slice(key_points, 1, 4), '|') AS points
           FROM articles WHERE entities IS NOT NULL""")
 def entity_slices(spark: SparkSession, folder: str) -> DataFrame:
