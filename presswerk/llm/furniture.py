@@ -17,14 +17,14 @@ content have no lines, rows of null source share a host.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from presswerk.llm.residue import ExemplarIndex, exemplar_index, tokens
+from presswerk.llm.residue import ExemplarIndex, exemplar_index
 from presswerk.operators.skew import join_counted
 from presswerk.session import materialize
 
@@ -55,45 +55,63 @@ def tail(text: str) -> str:
     return text[end:].strip(" :,–-)(|") if end is not None else ""
 
 
-def page_nodes(content: str, source: str | None, index: ExemplarIndex) -> Iterator[tuple[int, int, int, int]]:
-    """(line_no, presentation, nodes that must be unimportant, content node) of each line of the page."""
-    host = _SPACE.sub(" ", source or "").strip().casefold()
-    for number, line in enumerate(content.split("\n"), 1):
-        t = masked(line, host)
-        if not t or (len(t) < 250 and index.kind(tokens(t)) is not None):
-            continue
-        yield number, LINE, 1, key(t)
-        if len(t) > 300 or t[-1] in ".!?":
-            continue
-        items = _LIST.split(t)
-        if len(items) > 1 and all(x.count(" ") < 4 for x in items):
-            distinct = {key(x) for x in items}
-            for k in distinct:
-                yield number, LIST, len(distinct), k
-        if (end := tail(t)) and " " in end:
-            yield number, HEADLINE, 1, key("tail:" + end)
+#: Longer lines are no list and no headline, and only their digits are masked.
+LONG = 300
 
 
-NODE = "id bigint, line_no bigint, host bigint, sig bigint, way int, need int, node bigint"
+def line_nodes(line: str, host: str) -> list[tuple[int, int, int]]:
+    """(presentation, nodes that must be unimportant, content node) of a line."""
+    if len(line) > LONG:
+        return [(LINE, 1, key(_DIGITS.sub("0", _SPACE.sub(" ", line).strip().casefold())))]
+    t = masked(line, host)
+    if not t:
+        return []
+    out = [(LINE, 1, key(t))]
+    if t[-1] in ".!?":
+        return out
+    items = _LIST.split(t)
+    if len(items) > 1 and all(x.count(" ") < 4 for x in items):
+        distinct = {key(x) for x in items}
+        out += [(LIST, len(distinct), k) for k in distinct]
+    if "0" in t and (end := tail(t)) and " " in end:
+        out.append((HEADLINE, 1, key("tail:" + end)))
+    return out
 
 
-def tree_nodes(articles: DataFrame, index: ExemplarIndex) -> DataFrame:
-    shared = articles.sparkSession.sparkContext.broadcast(index)
+PAGE = "id bigint, label string, address string, host bigint, sig bigint, residue boolean, line_no array<int>, way array<int>, need array<int>, node array<bigint>, report_lines array<int>, scores array<float>"
+_TYPES = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), *[pa.list_(pa.int32())] * 3, pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.float32())]
+_NAMES = [x.split()[0] for x in PAGE.split(", ")]
+
+
+def read_pages(articles: DataFrame, index: ExemplarIndex, label: Column | None = None, address: Column | None = None, model: Callable | None = None) -> DataFrame:
+    """One row a page, read once: its host, a signature, whether it is residue, and the nodes of its lines; with a model also the scores of each line's words."""
+    shared = articles.sparkSession.sparkContext.broadcast((index, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        residue, score = shared.value
+        hosts: dict[str, tuple[str, int]] = {}
         for batch in batches:
-            out: list[list[int]] = [[] for _ in range(7)]
-            add = [x.append for x in out]
-            for i, source, content in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                host, sig = key(source or ""), key(_SPACE.sub(" ", max(content.split("\n"), key=len)).strip())
-                for number, way, need, node in page_nodes(content, source, shared.value):
-                    for f, x in zip(add, (i, number, host, sig, way, need, node), strict=True):
-                        f(x)
-            types = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["id", "line_no", "host", "sig", "way", "need", "node"])
-
-    rows = articles.select(F.col("id").cast("bigint").alias("id"), F.col("source").cast("string").alias("source"), F.col("content").cast("string").alias("content"))
-    return rows.filter("id IS NOT NULL AND content IS NOT NULL").mapInArrow(run, NODE)
+            out: list[tuple] = []
+            for i, lab, addr, source, content in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                source = source or ""
+                if source not in hosts:
+                    hosts[source] = (_SPACE.sub(" ", source).strip().casefold(), key(source))
+                host, number = hosts[source]
+                case, lines = residue.page(content)
+                nodes = [(n, *x) for n, (line, _) in lines.items() for x in line_nodes(line, host)]
+                sig = key(_SPACE.sub(" ", max(content.split("\n"), key=len)).strip())
+                scores = score([w for _, w in lines.values()]).ravel() if score and not case else None
+                columns = list(zip(*nodes, strict=True)) or [(), (), (), ()]
+                out.append((i, lab, addr, number, sig, case, *columns, tuple(lines) if score else None, scores))
+            cells = list(zip(*out, strict=True)) or [()] * len(_TYPES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, _TYPES, strict=True)], names=_NAMES)
+
+    none = F.lit(None).cast("string")
+    rows = articles.select(
+        F.col("id").cast("bigint").alias("id"), (none if label is None else label).alias("label"), (none if address is None else address).alias("address"),
+        F.col("source").cast("string").alias("source"), F.col("content").cast("string").alias("content"),
+    )
+    return materialize(rows.filter("id IS NOT NULL AND content IS NOT NULL").mapInArrow(run, PAGE), "pages")
 
 
 def title_tails(articles: DataFrame) -> DataFrame:
@@ -107,26 +125,33 @@ def title_tails(articles: DataFrame) -> DataFrame:
     return articles.filter("title IS NOT NULL").select(F.col("title").cast("string")).distinct().mapInArrow(run, "host bigint, sig bigint, node bigint")
 
 
-def furniture_lines(articles: DataFrame, min_pages: int = 5, share: float = 2e-4, host_share: float = 1e-2, index: ExemplarIndex | None = None) -> DataFrame:
+def furniture_lines(articles: DataFrame, min_pages: int = 5, share: float = 2e-4, host_share: float = 1e-2) -> DataFrame:
     """p2: (id, line_no) of the lines that are not part of the report.
 
     A node is unimportant if its importance is at most 1 - log_m b, with b = min_pages or a
     share of the m pages, whichever is more: `share` in the tree of all hosts, `host_share` in
     that of one host.
     """
-    nodes = materialize(tree_nodes(articles, index or exemplar_index(articles)), "style-nodes")
-    held = nodes.select("host", "sig", "node", F.lit(1).alias("rows")).unionByName(title_tails(articles).withColumn("rows", F.lit(0)))
+    return furniture_of(read_pages(articles, exemplar_index(articles)), title_tails(articles), min_pages, share, host_share)
+
+
+def furniture_of(pages: DataFrame, tails: DataFrame, min_pages: int = 5, share: float = 2e-4, host_share: float = 1e-2) -> DataFrame:
+    """furniture_lines for pages that are read already."""
+    nodes = pages.select("id", "host", "sig", F.explode(F.arrays_zip("line_no", "way", "need", "node")).alias("x")).select("id", F.col("x.line_no").cast("bigint").alias("line_no"), "host", "sig", "x.way", "x.need", "x.node")
+    nodes = materialize(nodes, "style-nodes")
+    held = nodes.select("host", "sig", "node", F.lit(1).alias("rows")).unionByName(tails.withColumn("rows", F.lit(0)))
     # Each page once: first by host, then over all hosts; both aggregations combine before the shuffle.
     by_host = held.groupBy("host", "node", "sig").agg(F.sum("rows").alias("rows"))
     by_host = by_host.groupBy("host", "node").agg(F.count("*").alias("n"), F.sum("rows").alias("_n")).filter(F.col("n") >= min_pages)
     over_all = held.groupBy("node", "sig").agg(F.sum("rows").alias("rows")).groupBy("node").agg(F.count("*").alias("n"), F.sum("rows").alias("_n")).filter(F.col("n") >= min_pages)
-    sizes = nodes.groupBy("host", "sig").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("m"))
-    pages = max(2, nodes.agg(F.count_distinct("sig")).first()[0])
+    distinct = pages.select("host", "sig").distinct()
+    sizes = distinct.groupBy("host").agg(F.count("*").alias("m"))
+    number = max(2, distinct.agg(F.count_distinct("sig")).first()[0])
 
     def unimportant(importance, part: float, m):  # noqa: ANN001, ANN202
         return importance <= 1 - F.log(F.greatest(F.lit(float(min_pages)), m * part)) / F.log(m.cast("double")) + 1e-9
 
-    m = F.lit(pages)
+    m = F.lit(number)
     low = materialize(over_all.withColumn("importance", 1 - F.log("n") / F.log(m.cast("double"))).filter(unimportant(F.col("importance"), share, m)).select("node", "_n"), "unimportant")
     m = F.col("m")
     low_host = by_host.join(sizes.filter("m > 1"), "host").withColumn("importance", 1 - F.log("n") / F.log(m.cast("double"))).filter(unimportant(F.col("importance"), host_share, m))

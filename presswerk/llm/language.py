@@ -23,9 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from presswerk.llm.furniture import furniture_lines
+from presswerk.llm.furniture import furniture_of, read_pages, title_tails
 from presswerk.llm.residue import exemplar_index
 from presswerk.operators.skew import join_counted
+from presswerk.session import materialize
 
 LANGUAGES = ("de", "fr", "it", "en")
 # What names one of the languages; regions, case and blanks are dropped first.
@@ -122,40 +123,19 @@ def host_of(articles: DataFrame) -> Column:
     return F.coalesce(host, articles["source"].cast("string"), F.lit(""))
 
 
-PAGE = "id bigint, label string, host string, line_nos array<int>, scores array<float>"
 OUT = "id bigint, line_no bigint, lang string, confidence double"
 
 
 def detect_languages(articles: DataFrame, per_language: int = SAMPLE, main_prior: float = 0.97) -> DataFrame:
     """(id, line_no, lang, confidence): line_no 0 and the page's language where the label lacks or misses it, and each line of the report in another language."""
-    spark = articles.sparkSession
-    residue = exemplar_index(articles)
     model = fit(labelled_sample(articles, per_language))
-    shared = spark.sparkContext.broadcast((residue, model))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, words = shared.value
-        for batch in batches:
-            ids, labels, hosts, numbers, scores = [], [], [], [], []
-            for i, label, host, content in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                case, lines = index.page(content)
-                if case:
-                    continue
-                ids.append(i)
-                labels.append(label)
-                hosts.append(host)
-                numbers.append(list(lines))
-                scores.append(words.line_scores(list(lines.values())).ravel())
-            types = (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((ids, labels, hosts, numbers, scores), types, strict=True)], names=["id", "label", "host", "line_nos", "scores"])
-
-    rows = articles.select(F.col("id").cast("bigint").alias("id"), declared(F.col("language")).alias("label"), host_of(articles).alias("host"), F.col("content").cast("string").alias("content"))
-    pages = rows.filter("id IS NOT NULL AND content IS NOT NULL").mapInArrow(score, PAGE)
-    furniture = furniture_lines(articles, index=residue).groupBy("id").agg(F.collect_list(F.col("line_no").cast("int")).alias("furniture"))
-    pages = join_counted(pages, host_priors(articles), ["host"], "_n", "left", total=None).join(furniture, "id", "left")
+    agreement = model.agreement
+    pages = read_pages(articles, exemplar_index(articles), declared(articles["language"]), host_of(articles), model.line_scores)
+    furniture = furniture_of(pages, title_tails(articles)).groupBy("id").agg(F.collect_list(F.col("line_no").cast("int")).alias("furniture"))
+    read = pages.filter("NOT residue").select("id", "label", F.col("address").alias("host"), F.col("report_lines").alias("line_nos"), "scores")
+    pages = join_counted(read, materialize(host_priors(articles), "host-priors"), ["host"], "_n", "left").join(furniture, "id", "left")
 
     def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        agreement = shared.value[1].agreement
         stay, leave = math.log(main_prior), math.log((1 - main_prior) / (len(LANGUAGES) - 1))
         for batch in batches:
             out: list[tuple[int, int, str, float]] = []

@@ -90,13 +90,14 @@ _SLOT_WORDS = re.compile(
 _SLOT_TWINS = re.compile(r"\b(XXX|TK|TBD|TODO)\s+[\w.]{1,40}\s+\1\b")
 _BRACKET = re.compile(r"[{\[<%@_]|XXX|TK |TBD|TODO")
 _TOKEN = re.compile(r"[^\W\d_]+|\d+")
+_DIGITS = re.compile(r"\d+")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 _ADDRESS = re.compile(r"^\s*(?:https?://|www\.)\S+\s*$")
 CLOSED, OPEN, FILLER = ("error", "script"), ("message", "draft"), ("filler",)
 
 
 def tokens(text: str) -> list[str]:
-    return ["0" if t[0].isdigit() else t for t in _TOKEN.findall(text.casefold())]
+    return _TOKEN.findall(_DIGITS.sub("0", text.casefold()))
 
 
 def has_slot(text: str) -> bool:
@@ -159,28 +160,28 @@ class ExemplarIndex:
         covered = sum(self.weight(t) for t in window if t in self.latin)
         return covered >= self.filler_bar * sum(map(self.weight, window))
 
-    def page(self, text: str) -> tuple[bool, dict[int, list[str]]]:
-        """Whether the page is a case; and the tokens of each line (from 1) that isn't residue."""
-        lines: dict[int, list[str]] = {}
+    def page(self, text: str) -> tuple[bool, dict[int, tuple[str, list[str]]]]:
+        """Whether the page is a case; and text and tokens of each line (from 1) that isn't empty or residue."""
+        lines: dict[int, tuple[str, list[str]]] = {}
         hit, residue, report = False, 0, 0
+        keys, latin = self.keys, self.latin_keys
         for number, line in enumerate(text.split("\n"), 1):
-            if not line or line.isspace():
-                continue
             window = tokens(line)
-            kind = self.kind(window)
-            if kind is None and not self.latin_keys.isdisjoint(window) and any(self.is_filler(tokens(s)) for s in _SENTENCE.split(line)):
-                hit = True
-            if kind == "draft":
-                hit = True
+            if not window:
+                if line and not line.isspace():
+                    lines[number] = (line, window)
+                continue
+            kind = None if keys.isdisjoint(window) else self.kind(window)
             if kind is not None:
+                hit = hit or kind == "draft"
                 residue += len(window)
                 continue
-            if _ADDRESS.match(line):
-                continue
+            if not latin.isdisjoint(window) and any(self.is_filler(tokens(s)) for s in _SENTENCE.split(line)):
+                hit = True
             if has_slot(line):
                 hit = True
-            lines[number] = window
-            if len(window) >= 8:
+            lines[number] = (line, window)
+            if len(window) >= 8 and not _ADDRESS.match(line):
                 report += len(window)
         return hit or (residue > 0 and residue >= report), lines
 
@@ -199,8 +200,9 @@ def _in_order(terms: list[str], window: list[str]) -> bool:
 
 def exemplar_index(articles: DataFrame) -> ExemplarIndex:
     """The index, with the document frequencies of its terms over all rows; at most one row per term comes to the driver."""
-    terms = vocabulary()
-    words = F.split(F.regexp_replace(F.lower("content"), r"\p{Nd}+", " 0 "), r"(?U)[^\p{L}0]+")
+    # Runs of digits are one term, which nearly every row has; it is counted as if all had it.
+    terms = [t for t in vocabulary() if t != "0"]
+    words = F.split(F.lower("content"), r"[^\p{L}]+")
     counted = (
         articles.filter("content IS NOT NULL")
         .select(F.explode(F.array_append(F.array_intersect(words, F.array(*map(F.lit, terms))), F.lit("\n"))).alias("t"))
@@ -209,7 +211,8 @@ def exemplar_index(articles: DataFrame) -> ExemplarIndex:
         .collect()
     )
     found = {r["t"]: r["n"] for r in counted}
-    return ExemplarIndex(found, found.pop("\n", 0))
+    rows = found.pop("\n", 0)
+    return ExemplarIndex({**found, "0": rows}, rows)
 
 
 def residue_pages(articles: DataFrame) -> DataFrame:
