@@ -59,7 +59,7 @@ EXEMPLARS: dict[str, tuple[str, ...]] = {
     # Machine messages with an open part.
     "message": (
         "Traceback (most recent call last): *", "Fatal error: Allowed memory size of 0 bytes exhausted *", "Fatal error: Uncaught *", "Warning: db_connect(): too many connections in * on line 0",
-        "Warning: * on line 0", "HTTP Status 0 – *Exception at *", "HTTP Error 0 *", "Error 0 / * / edge node blocked this request", "Too many requests (0). Retry after 0 seconds. *",
+        "Warning: * on line 0", "HTTP Status 0 – * at *", "HTTP Error 0 *", "Error 0 / * / edge node blocked this request", "Too many requests (0). Retry after 0 seconds. *",
         "upstream request timeout, id=*", "upstream connect error or disconnect/reset before headers *", "Exception in thread * at *", "undefined undefined undefined *", "NullReferenceException at *",
     ),
     # Marks of text that is still to be written, with an open part.
@@ -116,15 +116,23 @@ class ExemplarIndex:
         self.idf = {t: math.log((rows + 2) / (frequency.get(t, 0) + 1)) + 0.1 for t in vocabulary()}
         self.bars = {**dict.fromkeys(CLOSED, closed), **dict.fromkeys(OPEN, opened)}
         self.filler_bar = filler
-        self.exemplars: list[tuple[str, list[str], Counter]] = []
+        #: Label, terms in order, terms with their weights, weight in all, key terms.
+        self.exemplars: list[tuple[str, list[str], dict[str, tuple[int, float]], float, int]] = []
         self.postings: dict[str, list[int]] = {}
+        self.open_postings: dict[str, list[int]] = {}
         for kind in (*CLOSED, *OPEN):
             for text in EXEMPLARS[kind]:
                 t = tokens(text)
-                self.exemplars.append((kind, t, Counter(t)))
-                for term in sorted(set(t), key=lambda x: (-self.idf[x], x))[:3]:
+                have = {x: (n, self.idf[x]) for x, n in Counter(t).items()}
+                rare = sorted(have, key=lambda x: (-self.idf[x], x))[:3]
+                self.exemplars.append((kind, t, have, sum(n * w for n, w in have.values()), min(2, len(rare))))
+                for term in rare:
                     self.postings.setdefault(term, []).append(len(self.exemplars) - 1)
-        self.keys = set(self.postings)
+                    if kind in OPEN:
+                        self.open_postings.setdefault(term, []).append(len(self.exemplars) - 1)
+        self.keys, self.open_keys = set(self.postings), set(self.open_postings)
+        #: No closed exemplar covers most of a window that is longer.
+        self.short = int(max(len(t) for k, t, *_ in self.exemplars if k in CLOSED) / closed) + 1
         self.latin = {t for x in EXEMPLARS["filler"] for t in tokens(x)}
         #: Latin words that no language of the corpus shares show that a passage may be filler.
         self.latin_keys = {t for t in self.latin if len(t) > 4}
@@ -133,24 +141,36 @@ class ExemplarIndex:
         return self.idf.get(term, self.top)
 
     def kind(self, window: list[str]) -> str | None:
-        """The label of the exemplar that covers the window, or None."""
-        if self.keys.isdisjoint(window):
+        """The label of the exemplar that covers the window, or None.
+
+        A short window is compared with every exemplar that shares one of its rarest terms; a
+        long one only with those with an open part, and if it has two of them.
+        """
+        long = len(window) > self.short
+        if (self.open_keys if long else self.keys).isdisjoint(window):
             return None
-        candidates = {e for t in window for e in self.postings.get(t, ())}
-        total = sum(map(self.weight, window))
         counts = Counter(window)
+        postings = self.open_postings if long else self.postings
+        hits: dict[int, int] = {}
+        for t in counts.keys() & postings.keys():
+            for e in postings[t]:
+                hits[e] = hits.get(e, 0) + 1
+        total = 0.0
         best, label = 0.0, None
-        for e in candidates:
-            kind, terms, have = self.exemplars[e]
-            shared = sum(self.weight(t) * min(n, counts[t]) for t, n in have.items() if t in counts)
+        for e, n in hits.items():
+            kind, terms, have, whole, enough = self.exemplars[e]
+            if long and n < enough:
+                continue
+            shared = sum(w * min(k, counts[t]) for t, (k, w) in have.items() if t in counts)
             if kind in CLOSED:
                 # Both ways: a window that the exemplar covers, and not a mere fragment of it.
-                whole = sum(self.weight(t) * n for t, n in have.items())
-                score = shared / total if shared >= 0.35 * whole else 0.0
+                if shared < 0.35 * whole:
+                    continue
+                total = total or sum(map(self.weight, window))
+                score = shared / total
             else:
-                whole = sum(self.weight(t) * n for t, n in have.items())
-                score = shared / whole if _in_order(terms, window) else 0.0
-            if score >= self.bars[kind] and score > best:
+                score = shared / whole
+            if score >= self.bars[kind] and score > best and (kind in CLOSED or _in_order(terms, window)):
                 best, label = score, kind
         return label
 
