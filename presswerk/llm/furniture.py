@@ -55,14 +55,14 @@ def tail(text: str) -> str:
     return text[end:].strip(" :,–-)(|") if end is not None else ""
 
 
-#: Longer lines are no list and no headline, and only their digits are masked.
+#: Longer lines are no list and no headline, and stand for the words they hold, with digits masked.
 LONG = 300
 
 
-def line_nodes(line: str, host: str) -> list[tuple[int, int, int]]:
+def line_nodes(line: str, words: list[str], host: str) -> list[tuple[int, int, int]]:
     """(presentation, nodes that must be unimportant, content node) of a line."""
-    if len(line) > LONG:
-        return [(LINE, 1, key(_DIGITS.sub("0", _SPACE.sub(" ", line).strip().casefold())))]
+    if len(line) > LONG and words:
+        return [(LINE, 1, key(" ".join(["0" if w[0].isdigit() else w for w in words])))]
     t = masked(line, host)
     if not t:
         return []
@@ -98,8 +98,8 @@ def read_pages(articles: DataFrame, index: ExemplarIndex, label: Column | None =
                     hosts[source] = (_SPACE.sub(" ", source).strip().casefold(), key(source))
                 host, number = hosts[source]
                 case, lines = residue.page(content)
-                nodes = [(n, *x) for n, (line, _) in lines.items() for x in line_nodes(line, host)]
-                sig = key(_SPACE.sub(" ", max(content.split("\n"), key=len)).strip())
+                nodes = [(n, *x) for n, (line, words) in lines.items() for x in line_nodes(line, words, host)]
+                sig = key(" ".join(max((w for _, w in lines.values()), key=len, default=())) or content)
                 scores = score([w for _, w in lines.values()]).ravel() if score and not case else None
                 columns = list(zip(*nodes, strict=True)) or [(), (), (), ()]
                 out.append((i, lab, addr, number, sig, case, *columns, tuple(lines) if score else None, scores))

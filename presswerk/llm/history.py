@@ -85,7 +85,13 @@ def title_language(words: list[str]) -> str:
     scores = {lang: sum(w in known for w in words) for lang, known in FUNCTION_WORDS.items()}
     best = max(scores.values())
     leaders = [lang for lang, s in scores.items() if s == best]
-    return leaders[0] if best and len(leaders) == 1 else ""
+    if not best:
+        return ""
+    if leaders == ["fr", "it"]:
+        # They share articles; but Italian words end in a, i or o, which French ones hardly do.
+        long = [w for w in words if len(w) > 3 and not w[0].isdigit()]
+        return "it" if sum(w[-1] in "aio" for w in long) > 0.2 * len(long) else "fr"
+    return leaders[0] if len(leaders) == 1 else ""
 
 
 class Story:

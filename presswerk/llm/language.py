@@ -65,10 +65,13 @@ class WordModel:
         if not lines:
             return np.zeros((0, len(LANGUAGES)), np.float32)
         get, rest = self.ids.get, len(self.scores) - 1
-        # A closing unknown word keeps empty lines in their places.
-        flat = np.fromiter((i for line in lines for i in (*(get(w, rest) for w in line), rest)), np.int64)
-        ends = np.cumsum([len(line) + 1 for line in lines])
-        return np.add.reduceat(self.scores[flat], np.concatenate([[0], ends[:-1]]), axis=0)
+        flat: list[int] = []
+        starts = []
+        for line in lines:
+            starts.append(len(flat))
+            flat += [get(w, rest) for w in line]
+            flat.append(rest)  # so that an empty line keeps its place
+        return np.add.reduceat(self.scores[np.array(flat, np.int64)], starts, axis=0)
 
 
 def fit(rows: list[tuple[str, str]]) -> WordModel:

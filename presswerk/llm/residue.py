@@ -90,14 +90,18 @@ _SLOT_WORDS = re.compile(
 _SLOT_TWINS = re.compile(r"\b(XXX|TK|TBD|TODO)\s+[\w.]{1,40}\s+\1\b")
 _BRACKET = re.compile(r"[{\[<%@_]|XXX|TK |TBD|TODO")
 _TOKEN = re.compile(r"[^\W\d_]+|\d+")
-_DIGITS = re.compile(r"\d+")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 _ADDRESS = re.compile(r"^\s*(?:https?://|www\.)\S+\s*$")
 CLOSED, OPEN, FILLER = ("error", "script"), ("message", "draft"), ("filler",)
 
 
+def words(text: str) -> list[str]:
+    return _TOKEN.findall(text.casefold())
+
+
 def tokens(text: str) -> list[str]:
-    return _TOKEN.findall(_DIGITS.sub("0", text.casefold()))
+    """The words with every run of digits as one term."""
+    return ["0" if t[0].isdigit() else t for t in words(text)]
 
 
 def has_slot(text: str) -> bool:
@@ -124,7 +128,7 @@ class ExemplarIndex:
             for text in EXEMPLARS[kind]:
                 t = tokens(text)
                 have = {x: (n, self.idf[x]) for x, n in Counter(t).items()}
-                rare = sorted(have, key=lambda x: (-self.idf[x], x))[:3]
+                rare = sorted(have.keys() - {"0"}, key=lambda x: (-self.idf[x], x))[:3]
                 self.exemplars.append((kind, t, have, sum(n * w for n, w in have.values()), min(2, len(rare))))
                 for term in rare:
                     self.postings.setdefault(term, []).append(len(self.exemplars) - 1)
@@ -149,6 +153,7 @@ class ExemplarIndex:
         long = len(window) > self.short
         if (self.open_keys if long else self.keys).isdisjoint(window):
             return None
+        window = ["0" if t[0].isdigit() else t for t in window]
         counts = Counter(window)
         postings = self.open_postings if long else self.postings
         hits: dict[int, int] = {}
@@ -186,7 +191,7 @@ class ExemplarIndex:
         hit, residue, report = False, 0, 0
         keys, latin = self.keys, self.latin_keys
         for number, line in enumerate(text.split("\n"), 1):
-            window = tokens(line)
+            window = words(line)
             if not window:
                 if line and not line.isspace():
                     lines[number] = (line, window)
