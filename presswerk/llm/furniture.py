@@ -92,12 +92,12 @@ def read_pages(articles: DataFrame, index: ExemplarIndex, label: Column | None =
         hosts: dict[str, tuple[str, int]] = {}
         for batch in batches:
             out: list[tuple] = []
-            for i, lab, addr, source, content in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            for i, lab, addr, source, content, title, url in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
                 source = source or ""
                 if source not in hosts:
                     hosts[source] = (_SPACE.sub(" ", source).strip().casefold(), key(source))
                 host, number = hosts[source]
-                case, lines = residue.page(content)
+                case, lines = residue.page(content, title, url, source)
                 nodes = [(n, *x) for n, (line, words) in lines.items() for x in line_nodes(line, words, host)]
                 sig = key(" ".join(max((w for _, w in lines.values()), key=len, default=())) or content)
                 scores = score([w for _, w in lines.values()]).ravel() if score and not case else None
@@ -109,7 +109,7 @@ def read_pages(articles: DataFrame, index: ExemplarIndex, label: Column | None =
     none = F.lit(None).cast("string")
     rows = articles.select(
         F.col("id").cast("bigint").alias("id"), (none if label is None else label).alias("label"), (none if address is None else address).alias("address"),
-        F.col("source").cast("string").alias("source"), F.col("content").cast("string").alias("content"),
+        *[F.col(c).cast("string").alias(c) for c in ("source", "content", "title", "url")],
     )
     return materialize(rows.filter("id IS NOT NULL AND content IS NOT NULL").mapInArrow(run, PAGE), "pages")
 

@@ -80,8 +80,8 @@ def _words(text: str) -> list[str]:
     return [_umlauts(w) for w in _WORD.findall(text)]
 
 
-def title_language(words: list[str]) -> str:
-    """The language whose function words prevail, or an empty text."""
+def title_language(words: list[str], names: frozenset[str] = frozenset()) -> str:
+    """The language whose function words prevail, or an empty text. names: words of firms and places, which tell nothing."""
     scores = {lang: sum(w in known for w in words) for lang, known in FUNCTION_WORDS.items()}
     best = max(scores.values())
     leaders = [lang for lang, s in scores.items() if s == best]
@@ -89,7 +89,7 @@ def title_language(words: list[str]) -> str:
         return ""
     if leaders == ["fr", "it"]:
         # They share articles; but Italian words end in a, i or o, which French ones hardly do.
-        long = [w for w in words if len(w) > 3 and not w[0].isdigit()]
+        long = [w for w in words if len(w) > 3 and not w[0].isdigit() and w not in names]
         return "it" if sum(w[-1] in "aio" for w in long) > 0.2 * len(long) else "fr"
     return leaders[0] if len(leaders) == 1 else ""
 
@@ -136,7 +136,8 @@ def read_title(title: str, source: str = "") -> Story:
         break
     words = _words(t)
     # The last word of a title that was cut may be a piece of another.
-    lang = title_language(words[:-1] if _CUT.search(t) else words)
+    words = words[:-1] if _CUT.search(t) else words
+    lang = title_language(words)
     if m is None:
         if outlet and t.endswith(outlet):
             t = t[: -len(outlet)].strip(" +|–—-:")
@@ -180,7 +181,7 @@ def read_title(title: str, source: str = "") -> Story:
         place, event = after[-1][0], [w for w, _ in after[:-1]]
     else:
         place, event = "", []
-    return Story(lang, firm, place, tuple(event), amount)
+    return Story(title_language(words, frozenset((*firm, *place.split()))), firm, place, tuple(event), amount)
 
 
 @lru_cache(200_000)

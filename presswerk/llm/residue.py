@@ -67,7 +67,7 @@ EXEMPLARS: dict[str, tuple[str, ...]] = {
         "This is sample copy without content *; replace before release.", "Dies ist ein Beispieltext ohne Inhalt *; bitte vor der Freigabe ersetzen.",
         "Ceci est un texte d'exemple sans contenu *, à remplacer avant publication.", "Questo è un testo di esempio senza contenuto *, da sostituire prima della pubblicazione.",
         "Body copy about * goes here.", "Hier steht später der Fliesstext zum Thema *.", "Ici viendra plus tard le texte sur *.", "Qui andrà più tardi il testo su *.", "Qui seguirà il testo su *.",
-        "Blindtext *, damit das Layout geprüft werden kann.", "Dummy text * to check the layout.", "Faux texte * pour contrôler la mise en page.", "Testo fittizio * per controllare l'impaginazione.", "Testo segnaposto * per controllare l'impaginazione.",
+        "Blindtext *, damit das Layout geprüft werden kann.", "Dummy text * to check the layout.", "Faux texte * pour contrôler la mise en page.", "Testo fittizio * per controllare l'impaginazione.", "Testo finto * per controllare l'impaginazione.", "Testo segnaposto * per controllare l'impaginazione.",
         "Noch kein Text erfasst – Entwurf *.", "No text entered yet – draft *.", "Aucun texte saisi – brouillon *.", "Nessun testo inserito – bozza *.",
     ),
     # Pseudo-Latin filler: a bag of words.
@@ -179,14 +179,37 @@ class ExemplarIndex:
                 best, label = score, kind
         return label
 
+    def quoted(self, window: list[str], own: set[str]) -> str | None:
+        """The label of an exemplar that stands whole in the window, next to the page's own words, beginnings of them and at most one other."""
+        window = ["0" if t[0].isdigit() else t for t in window]
+        seen: set[int] = set()
+        for term in self.keys.intersection(window):
+            for e in self.postings[term]:
+                kind, terms, *_ = self.exemplars[e]
+                if e in seen or kind not in CLOSED:
+                    continue
+                seen.add(e)
+                n = len(terms)
+                for at in range(len(window) - n + 1):
+                    if window[at] == terms[0] and window[at : at + n] == terms:
+                        others = [t for t in window[:at] + window[at + n :] if t != "0" and t not in own and not any(o.startswith(t) for o in own)]
+                        if len(others) <= 1:
+                            return kind
+        return None
+
     def is_filler(self, window: list[str]) -> bool:
         if len(window) < 3 or self.latin_keys.isdisjoint(window):
             return False
         covered = sum(self.weight(t) for t in window if t in self.latin)
         return covered >= self.filler_bar * sum(map(self.weight, window))
 
-    def page(self, text: str) -> tuple[bool, dict[int, tuple[str, list[str]]]]:
-        """Whether the page is a case; and text and tokens of each line (from 1) that isn't empty or residue."""
+    def page(self, text: str, title: str | None = None, address: str | None = None, source: str | None = None) -> tuple[bool, dict[int, tuple[str, list[str]]]]:
+        """Whether the page is a case; and text and tokens of each line (from 1) that isn't empty or residue.
+
+        Error pages name what was asked for: words of the page's own title, address and source
+        are no evidence against an exemplar.
+        """
+        own: set[str] | None = None
         lines: dict[int, tuple[str, list[str]]] = {}
         hit, residue, report = False, 0, 0
         keys, latin = self.keys, self.latin_keys
@@ -196,7 +219,12 @@ class ExemplarIndex:
                 if line and not line.isspace():
                     lines[number] = (line, window)
                 continue
-            kind = None if keys.isdisjoint(window) else self.kind(window)
+            kind = None
+            if not keys.isdisjoint(window):
+                kind = self.kind(window)
+                if kind is None and len(window) <= 3 * self.short:
+                    own = own or {*words(title or ""), *words(address or ""), *words(source or "")}
+                    kind = self.quoted(window, own)
             if kind is not None:
                 hit = hit or kind == "draft"
                 residue += len(window)
@@ -247,8 +275,8 @@ def residue_pages(articles: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         page = index.value.page
         for batch in batches:
-            found = [i for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if page(t)[0]]
+            found = [i for i, *t in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True) if page(*t)[0]]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["id"])
 
-    rows = articles.select(F.col("id").cast("bigint").alias("id"), F.col("content").cast("string").alias("content")).filter("content IS NOT NULL AND id IS NOT NULL")
+    rows = articles.select(F.col("id").cast("bigint").alias("id"), *[F.col(c).cast("string").alias(c) for c in ("content", "title", "url", "source")]).filter("content IS NOT NULL AND id IS NOT NULL")
     return rows.mapInArrow(run, "id bigint").distinct()
