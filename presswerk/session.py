@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,7 +20,7 @@ def local_session(cores: int = 4, app: str = "presswerk", **conf: str) -> SparkS
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "6g")
+        .config("spark.driver.memory", conf.pop("spark__driver__memory", "6g"))
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -52,3 +54,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a context; theirs need not have it installed."""
+    context = spark.sparkContext
+    package = Path(__file__).resolve().parent
+    if context.applicationId in _shipped or not package.is_dir():
+        return
+    _shipped.add(context.applicationId)
+    folder = Path(tempfile.mkdtemp(prefix="presswerk-ship-"))
+    copy = folder / "src" / package.name
+    shutil.copytree(package, copy, ignore=shutil.ignore_patterns("__pycache__"))
+    context.addPyFile(shutil.make_archive(str(folder / package.name), "zip", folder / "src"))
+    shutil.rmtree(folder / "src")
