@@ -233,10 +233,10 @@ def reset_projection(spark: SparkSession, folder: str) -> DataFrame:
 def delete_cascade(spark: SparkSession, folder: str) -> DataFrame:
     runs, a, calls = tables(spark, folder, "pipeline_runs", "articles", "api_calls")
     kept, children = state.delete_cascade(runs, F.col("status") == "failed", {"articles": (a, "run_id", "run_id"), "calls": (calls, "run_id", "run_id")})
-    counts = kept.agg(F.count("*").alias("runs"))
+    counts = kept.select(F.lit("runs").alias("t"))
     for n, c in children.items():
-        counts = counts.withColumn("_k", F.lit(0)).join(c.agg(F.count("*").alias(n)).withColumn("_k", F.lit(0)), "_k").drop("_k")
-    return counts
+        counts = counts.unionByName(c.select(F.lit(n).alias("t")))
+    return counts.agg(*[F.count_if(F.col("t") == n).alias(n) for n in ("runs", "articles", "calls")])
 
 
 @query("SELECT id FROM api_calls WHERE created_at IS NULL OR created_at >= (SELECT max(created_at) FROM api_calls) - INTERVAL 90 DAY")

@@ -10,7 +10,7 @@ from presswerk.functions import scoring as S
 from presswerk.functions import text as X
 from presswerk.functions import url as U
 from presswerk.functions.similarity import simhash
-from presswerk.operators import grouping, matching, state
+from presswerk.operators import duplicates, grouping, matching, state
 from presswerk.plans.reports import _IMPACT
 from presswerk.session import materialize
 from presswerk.sources import sinks
@@ -238,23 +238,11 @@ def topic_star_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return grouping.star_clusters(rows)
 
 
-def _signals(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs (a, b) of one representative of each URL with the signals that fire, from joins each exact for its signal."""
-    a = table(spark, folder, "articles").filter("content IS NOT NULL")
-    reps = a.groupBy("url_hash").agg(F.min("id").alias("id"), F.min_by("title", "id").alias("title"), F.min_by("url", "id").alias("url"), F.min_by("content", "id").alias("content"))
-    reps = materialize(reps.select("id", X.title_tokens(F.col("title")).alias("title"), U.slug_tokens(F.col("url")).alias("slug"), "content"), "signal-rows")
-    prints = materialize(simhash(reps.select("id", "content"), "id", "content").select("id", "simhash"), "simhash")
-    slug, _ = matching.jaccard_pairs(reps, "id", "slug", 0.8)
-    title, _ = matching.jaccard_pairs(reps, "id", "title", 0.8)
-    near, _ = matching.hamming_pairs(prints, "id", "simhash", 3)
-    fired = slug.select("a", "b", F.lit("slug").alias("s")).unionByName(title.select("a", "b", F.lit("title").alias("s"))).unionByName(near.select("a", "b", F.lit("simhash").alias("s")))
-    return fired.groupBy("a", "b").agg(*[F.max(F.col("s") == s).alias(s) for s in ("slug", "title", "simhash")])
-
-
 @query()
 def candidate_pairs_multisignal(spark: SparkSession, folder: str) -> DataFrame:
-    s = _signals(spark, folder)
-    return s.withColumn("first_signal", F.when(F.col("slug"), "slug").when(F.col("title"), "title").otherwise("simhash"))
+    """Pairs in blocks of 48 hours that a signal finds: slug, entities or title at 0.8, fingerprints within three bits."""
+    pairs = duplicates.candidate_pairs(duplicates.signal_rows(table(spark, folder, "articles")))
+    return pairs.select("a", "b", *[F.round(s, 6).alias(s) for s in duplicates.SIGNALS], duplicates.first_signal().alias("first_signal"))
 
 
 @query()
@@ -262,6 +250,11 @@ def signal_stats(spark: SparkSession, folder: str) -> DataFrame:
     return candidate_pairs_multisignal(spark, folder).groupBy("first_signal").agg(F.count("*").alias("pairs"))
 
 
+@query()
+def detected_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return duplicates.detect_duplicates(table(spark, folder, "articles"))
+
+
 @query("""WITH f AS (SELECT min(id) AS id, arr FROM (SELECT id, list_sort(list_distinct(entities.companies)) AS arr FROM articles WHERE language = 'fr' AND entities IS NOT NULL) WHERE len(arr) > 0 GROUP BY arr),
           d AS (SELECT min(id) AS id, arr FROM (SELECT id, list_sort(list_distinct(entities.companies)) AS arr FROM articles WHERE language = 'de' AND entities IS NOT NULL) WHERE len(arr) > 0 GROUP BY arr)
           SELECT DISTINCT f.id AS foreign_id, d.id AS german_id FROM (SELECT id, unnest(arr) AS c FROM f) f JOIN (SELECT id, unnest(arr) AS c FROM d) d USING (c)""")
