@@ -17,6 +17,7 @@ import unicodedata
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,12 +26,14 @@ _WORD = re.compile(r"[^\W_]+")
 _MARKS = re.compile("[̀-ͯ҃-֑҉-ֽؐ-ًؚ-ٟ᪰-᫿᷀-᷿⃐-⃿︠-︯]+")
 #: Items up to so many characters in all are broadcast; more are joined by shuffling.
 BROADCAST_CHARS = 32_000_000
+#: So many words are remembered by a worker.
+SEEN_WORDS = 500_000
 
 
 def words(text: str) -> list[str]:
     text = text.casefold()
     if not text.isascii():
-        text = _MARKS.sub("", unicodedata.normalize("NFKD", text))
+        text = _MARKS.sub("", unicodedata.normalize("NFD", text))
     return _WORD.findall(text)
 
 
@@ -63,6 +66,8 @@ class ItemIndex:
         self.window, self.max_errors = window, max_errors
         self.piece = max(1, (window + 1) // (max_errors + 2))
         self.vocabulary: dict[str, int] = {}
+        #: Numbers of words as they stand in texts; -1 for those that no item has.
+        self.seen: dict[str, int] = {}
         self.items: dict[int, list[int]] = {}
         self.pieces: dict[tuple[int, ...], list[tuple[int, int]]] = {}
         for item, text in items:
@@ -72,31 +77,74 @@ class ItemIndex:
             ids = self.items[item] = [self.vocabulary.setdefault(x, len(self.vocabulary)) for x in w]
             for at in range(0, len(ids) - self.piece + 1, self.piece):
                 self.pieces.setdefault(tuple(ids[at : at + self.piece]), []).append((item, at))
+        self.filter = np.zeros(1 << max(16, (16 * len(self.pieces)).bit_length()), bool)
+        for p in self.pieces:
+            self.filter[self._slots(np.array(p, np.int64))] = True
+
+    def numbers(self, text: str) -> list[int]:
+        """The number of each word of the text. Words are stripped of accents once each, not with every text."""
+        text = text.casefold()
+        get = self.vocabulary.get
+        if not text.isascii() and _MARKS.search(text):
+            return [get(w, -1) for w in words(text)]
+        seen, found = self.seen, _WORD.findall(text)
+        doc = [seen.get(w, -2) for w in found]
+        if -2 not in doc:
+            return doc
+        doc = []
+        for w in found:
+            n = seen.get(w, -2)
+            if n == -2:
+                parts = words(w)
+                if len(parts) != 1:  # a sign like a fraction becomes several words
+                    doc += [get(x, -1) for x in parts]
+                    continue
+                if len(seen) >= SEEN_WORDS:
+                    seen.clear()
+                n = seen[w] = get(parts[0], -1)
+            doc.append(n)
+        return doc
 
     def match(self, text: str) -> dict[int, tuple[int, int]]:
         """By item: the longest exact run, and the least errors in a window."""
-        get, size = self.vocabulary.get, self.piece
-        doc = [get(w, -1) for w in words(text)]
+        size = self.piece
+        doc = self.numbers(text)
         found: dict[int, tuple[int, int]] = {}
         done: dict[int, int] = {}  # by item and diagonal: where the exact run there ends
-        start = 0
-        for end in range(len(doc) + 1):
-            if end < len(doc) and doc[end] >= 0:
-                continue
-            # doc[start:end] are words that items know
-            for at in range(start, end - size + 1):
-                for item, pos in self.pieces.get(tuple(doc[at : at + size]), ()):
-                    key = item << 32 | (at - pos + (1 << 30))
-                    if done.get(key, -1) >= at + size:
-                        continue
-                    run, errors = self._verify(doc, at, item, pos)
-                    done[key] = at + run[1]
-                    if errors <= self.max_errors:
-                        best = found.get(item, (0, self.window))
-                        found[item] = (max(best[0], run[0] + run[1]), min(best[1], errors))
-            start = end + 1
+        if len(doc) < size:
+            return found
+        # Places whose hash is that of a piece; each is looked up then.
+        for at in np.flatnonzero(self.filter[self._slots(np.array(doc, np.int64))]).tolist():
+            for item, pos in self.pieces.get(tuple(doc[at : at + size]), ()):
+                key = item << 32 | (at - pos + (1 << 30))
+                if done.get(key, -1) >= at + size:
+                    continue
+                run, errors = self._verify(doc, at, item, pos)
+                done[key] = at + run[1]
+                if errors <= self.max_errors:
+                    best = found.get(item, (0, self.window))
+                    found[item] = (max(best[0], run[0] + run[1]), min(best[1], errors))
         return found
 
+    def _slots(self, numbers: np.ndarray) -> np.ndarray:
+        """Where in the filter each stretch of a piece's length falls."""
+        n = len(numbers) - self.piece + 1
+        h = numbers[:n].copy()
+        for k in range(1, self.piece):
+            h = h * 1_000_003 + numbers[k : n + k]
+        return (h ^ (h >> 19) ^ (h >> 41)) & (len(self.filter) - 1)
+
+    @staticmethod
+    def _beyond(doc: list[int], ids: list[int], at: int, pos: int, step: int) -> int:
+        """How many words of the item one error at the end of a run may add to it."""
+        best = 0
+        for skip_item, skip_doc in ((1, 1), (1, 0), (0, 1)):
+            i, d, n = pos + step * skip_item, at + step * skip_doc, skip_item
+            while 0 <= i < len(ids) and 0 <= d < len(doc) and ids[i] == doc[d]:
+                i, d, n = i + step, d + step, n + 1
+            best = max(best, n)
+        return best
+
     def _verify(self, doc: list[int], at: int, item: int, pos: int) -> tuple[tuple[int, int], int]:
         ids, w, e = self.items[item], self.window, self.max_errors
         left = 0
@@ -107,6 +155,9 @@ class ItemIndex:
             right += 1
         if left + right >= w:
             return (left, right), 0
+        # With one error, the window is this run, the error and what agrees beyond it on one side.
+        if e == 1 and left + right + max(self._beyond(doc, ids, at - left - 1, pos - left - 1, -1), self._beyond(doc, ids, at + right, pos + right, 1)) < w:
+            return (left, right), w
         best = w
         for first in range(max(0, pos + self.piece - w), min(pos, len(ids) - w) + 1):
             shift = at - pos + first

@@ -126,6 +126,13 @@ def test_leaks_against_brute_force(spark, limit, monkeypatch):
                 assert (a, b) in near
 
 
+def test_numbers_agree_with_the_words():
+    index = leaks.ItemIndex([(1, "zehn ½ m² été ﬁlm " * 4)], 13, 1)
+    for text in ("Zehn ½ M² ÉTÉ e\u0301te\u0301 ﬁlm", "nichts davon", "", "x½y zehn½"):
+        for _ in range(2):
+            assert index.numbers(text) == [index.vocabulary.get(w, -1) for w in words(text)]
+
+
 def test_leaked_items(spark):
     text = "eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn"
     d = spark.createDataFrame([(1, "x " + text.upper().replace("FÜNF", "funf") + " y", 0), (1, text, 0), (2, text[:-9], 0)], "doc_id int, text string, item_id int")
