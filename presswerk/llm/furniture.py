@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presswerk.llm.residue import ExemplarIndex, exemplar_index
+from presswerk.llm.residue import words as tokens
 from presswerk.operators.skew import join_counted
 from presswerk.session import materialize
 
@@ -78,13 +79,13 @@ def line_nodes(line: str, words: list[str], host: str) -> list[tuple[int, int, i
     return out
 
 
-PAGE = "id bigint, label string, address string, host bigint, sig bigint, residue boolean, line_no array<int>, way array<int>, need array<int>, node array<bigint>, report_lines array<int>, scores array<float>"
-_TYPES = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), *[pa.list_(pa.int32())] * 3, pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.float32())]
+PAGE = "id bigint, label string, address string, host bigint, sig bigint, residue boolean, line_no array<int>, way array<int>, need array<int>, node array<bigint>, report_lines array<int>, scores array<float>, title_scores array<float>"
+_TYPES = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), *[pa.list_(pa.int32())] * 3, pa.list_(pa.int64()), pa.list_(pa.int32()), *[pa.list_(pa.float32())] * 2]
 _NAMES = [x.split()[0] for x in PAGE.split(", ")]
 
 
 def read_pages(articles: DataFrame, index: ExemplarIndex, label: Column | None = None, address: Column | None = None, model: Callable | None = None) -> DataFrame:
-    """One row a page, read once: its host, a signature, whether it is residue, and the nodes of its lines; with a model also the scores of each line's words."""
+    """One row a page, read once: its host, a signature, whether it is residue, and the nodes of its lines; with a model also the scores of each line's words and of the title's."""
     shared = articles.sparkSession.sparkContext.broadcast((index, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +103,8 @@ def read_pages(articles: DataFrame, index: ExemplarIndex, label: Column | None =
                 sig = key(" ".join(max((w for _, w in lines.values()), key=len, default=())) or content)
                 scores = score([w for _, w in lines.values()]).ravel() if score and not case else None
                 columns = list(zip(*nodes, strict=True)) or [(), (), (), ()]
-                out.append((i, lab, addr, number, sig, case, *columns, tuple(lines) if score else None, scores))
+                named = score([tokens(title or "")]).ravel() if score and not case else None
+                out.append((i, lab, addr, number, sig, case, *columns, tuple(lines) if score else None, scores, named))
             cells = list(zip(*out, strict=True)) or [()] * len(_TYPES)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, _TYPES, strict=True)], names=_NAMES)
 

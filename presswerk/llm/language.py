@@ -1,7 +1,8 @@
 """Language of documents and of their passages, by fusing evidence.
 
-The posterior of a page's language multiplies the likelihood of its text, of the language it
-declares, and a prior of its host. Text likelihoods come from word counts of a bounded sample of
+The posterior of a page's language multiplies the likelihood of its text and of its title (which
+counts more, as passages in other languages stand in the text only), of the language it declares,
+and a prior of its host. Text likelihoods come from word counts of a bounded sample of
 labelled rows, re-labelled once by the first model since labels err. Host priors are counts of
 declared languages by host, smoothed towards those of the address suffix, and these towards
 those of the corpus, all by grouped aggregation over all rows. Passages are lines: their
@@ -129,26 +130,26 @@ def host_of(articles: DataFrame) -> Column:
 OUT = "id bigint, line_no bigint, lang string, confidence double"
 
 
-def detect_languages(articles: DataFrame, per_language: int = SAMPLE, main_prior: float = 0.97) -> DataFrame:
+def detect_languages(articles: DataFrame, per_language: int = SAMPLE, main_prior: float = 0.97, title_weight: float = 4.0) -> DataFrame:
     """(id, line_no, lang, confidence): line_no 0 and the page's language where the label lacks or misses it, and each line of the report in another language."""
     model = fit(labelled_sample(articles, per_language))
     agreement = model.agreement
     pages = read_pages(articles, exemplar_index(articles), declared(articles["language"]), host_of(articles), model.line_scores)
     furniture = furniture_of(pages, title_tails(articles)).groupBy("id").agg(F.collect_list(F.col("line_no").cast("int")).alias("furniture"))
-    read = pages.filter("NOT residue").select("id", "label", F.col("address").alias("host"), F.col("report_lines").alias("line_nos"), "scores")
+    read = pages.filter("NOT residue").select("id", "label", F.col("address").alias("host"), F.col("report_lines").alias("line_nos"), "scores", "title_scores")
     pages = join_counted(read, materialize(host_priors(articles), "host-priors"), ["host"], "_n", "left").join(furniture, "id", "left")
 
     def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stay, leave = math.log(main_prior), math.log((1 - main_prior) / (len(LANGUAGES) - 1))
         for batch in batches:
             out: list[tuple[int, int, str, float]] = []
-            for i, label, prior, numbers, flat, gone in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+            for i, label, prior, numbers, flat, gone, title in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
                 s = np.array(flat, np.float64).reshape(-1, len(LANGUAGES))
                 gone = set(gone or ())
                 keep = np.array([n not in gone for n in numbers], bool)
                 if not keep.any():
                     continue
-                total = s[keep].sum(axis=0)
+                total = s[keep].sum(axis=0) + title_weight * np.array(title, np.float64)
                 if prior:
                     total = total + np.log(prior)
                 if label is not None:
@@ -165,7 +166,7 @@ def detect_languages(articles: DataFrame, per_language: int = SAMPLE, main_prior
             columns = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.float64()), strict=True)], names=["id", "line_no", "lang", "confidence"])
 
-    return pages.select("id", "label", "prior", "line_nos", "scores", "furniture").mapInArrow(fuse, OUT)
+    return pages.select("id", "label", "prior", "line_nos", "scores", "furniture", "title_scores").mapInArrow(fuse, OUT)
 
 
 def _confidence(scores: np.ndarray) -> float:

@@ -98,6 +98,9 @@ def test_languages(spark):
     want.add((503, 0, "en"))
     rows.append((600, "s", None, "it", "t", f"{TEXT['fr'][0]} {word(600)}.\n{TEXT['fr'][1]} {word(601)}."))
     want.add((600, 0, "fr"))
+    # As much of one language as of the other: the title tells which is the report's.
+    rows.append((650, "s", None, "de", f"{TEXT['de'][1]}", f"{TEXT['de'][0]} {word(650)}.\n{TEXT['fr'][0]} {word(651)}.\n{TEXT['fr'][1]} {word(652)}."))
+    want |= {(650, 2, "fr"), (650, 3, "fr")}
     rows += [(700, "s", None, None, None, None), (701, "s", None, None, None, ""), (702, None, None, None, None, "404 Not Found")]
     df = spark.createDataFrame(rows, SCHEMA)
     found = language.detect_languages(df)
