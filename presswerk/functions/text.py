@@ -12,6 +12,7 @@ STOP_WORDS = (
     "il lo gli i uno della del dei delle degli e o ma è sono nel nella per con su da di che non più al alla si suo sua "
     "the a and or but is are was were be been to of for with on at by from as that this it its has have had not"
 ).split()
+# Stop words of keywords, and legal forms that company names are compared without.
 KEYWORD_STOP_WORDS = (
     "der die das den dem des ein eine einer einem im in auf von zu mit und oder aber ist sind wird werden wurde wurden hat haben für bei nach "
     "the a an on at to for of with and or but is are was were has have had be been"
