@@ -223,7 +223,9 @@ def near(a: str, b: str, edits: int) -> bool:
 
 
 def _alike(a: str, b: str) -> bool:
-    return a == b or (min(len(a), len(b)) > 4 and near(a, b, 1 if min(len(a), len(b)) < 8 else 2))
+    """The same word but for a misspelling; folding may have made two changes of it."""
+    short, long = sorted((len(a), len(b)))
+    return a == b or (short > 4 and near(a, b, 2 if short > 5 and long > 6 else 1))
 
 
 def same_story(a: Story, b: Story) -> bool:
