@@ -240,7 +240,7 @@ def topic_star_clusters(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def candidate_pairs_multisignal(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs in blocks of 48 hours that a signal finds: slug, entities or title at 0.8, fingerprints within three bits."""
+    """Pairs in blocks of 48 hours that a signal finds: slug at 0.5, one common entity, title at 0.3, fingerprints within 15 bits; no vectors are at hand here."""
     pairs = duplicates.candidate_pairs(duplicates.signal_rows(table(spark, folder, "articles")))
     return pairs.select("a", "b", *[F.round(s, 6).alias(s) for s in duplicates.SIGNALS], duplicates.first_signal().alias("first_signal"))
 

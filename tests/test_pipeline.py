@@ -2,6 +2,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import pandas as pd
+
+from presswerk.functions.similarity import simhash_of
 from presswerk.operators import duplicates
 from presswerk.plans import pipeline as P
 from presswerk.sources.providers import keyword_classifier
@@ -66,3 +69,37 @@ def test_health(spark):
     assert got == {"tables": False, "articles": True, "last run": True, "failed runs": False}
     spark.range(1).createOrReplaceTempView("there")
     assert P.missing_tables(spark, ["there", "absent"]) == ["absent"]
+
+
+def test_candidates_at_the_surveyed_bars_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "TILE", 8)
+    titles = [f"{a} meldet {b} in {c}" for a in ("UBS", "Roche") for b in ("Konkurs", "Gewinn") for c in ("Basel", "Genf", "Bern")] * 2 + ["ganz andere worte hier", "niemand sonst sagt etwas"]
+    texts = [" ".join(f"w{(k * 7 + i) % 40}" for i in range(30 + k % 5)) for k in range(len(titles))]
+    made = [(k, f"h{k:02}", f"https://a.ch/{t.lower().replace(' ', '-')}-{k % 3}", t, texts[k]) for k, t in enumerate(titles)]
+    rows = spark.createDataFrame(made, "id bigint, url_hash string, url string, title string, content string").withColumn("collected_at", F.timestamp_seconds(F.lit(1_760_000_000)))
+    signals = duplicates.signal_rows(rows)
+    got = {(r["a"], r["b"]): r for r in duplicates.candidate_pairs(signals).collect()}
+    sets = {r["id"]: r for r in signals.collect()}
+    want = {}
+    for a in sets:
+        for b in (b for b in sets if a < b):
+            x, y = sets[a], sets[b]
+            j = lambda n, x=x, y=y: len(set(x[n]) & set(y[n])) / (len(set(x[n]) | set(y[n])) or 1)
+            bits = ((simhash_of(texts[a]) ^ simhash_of(texts[b])) & (2**64 - 1)).bit_count()
+            fired = (j("slug") if j("slug") >= 0.5 else None, None, j("entity") if set(x["entity"]) & set(y["entity"]) else None, j("title") if j("title") >= 0.3 else None, 1 - bits / 64 if bits <= 15 else None)
+            if any(f is not None for f in fired):
+                want[a, b] = tuple(f if f is None else round(f, 6) for f in fired)
+    assert {k: tuple(r[s] if r[s] is None else round(r[s], 6) for s in duplicates.SIGNALS) for k, r in got.items()} == want
+    assert any(r["title"] and r["title"] < 0.8 for r in got.values()) and any(r["entity"] and r["entity"] < 0.8 for r in got.values())
+
+    def encoder(batch):
+        return pd.DataFrame({"id": batch["id"], "vector": [[1.0, 0.5] if t.startswith(("ganz", "niemand")) else [0.0, -1.0] for t in batch["title"]]})
+
+    told = {(r["a"], r["b"]): r for r in duplicates.candidate_pairs(duplicates.signal_rows(rows, encoder=encoder)).collect()}
+    assert got[24, 25]["embedding"] is None and abs(told[24, 25]["embedding"] - 1) < 1e-9
+
+
+def test_copies_are_paired_with_their_first(spark):
+    rows = spark.createDataFrame([(k, f"h{k}", "https://a.ch/x/ubs-konkurs", "UBS in Konkurs", "eins zwei drei vier") for k in range(5)], "id bigint, url_hash string, url string, title string, content string").withColumn("collected_at", F.timestamp_seconds(F.lit(1_760_000_000)))
+    got = duplicates.candidate_pairs(duplicates.signal_rows(rows)).collect()
+    assert {(r["a"], r["b"]): tuple(r[s] for s in duplicates.SIGNALS) for r in got} == {(0, k): (1.0, None, 1.0, 1.0, 1.0) for k in range(1, 5)}
