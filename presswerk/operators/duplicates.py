@@ -176,6 +176,13 @@ def detect_duplicates(articles: DataFrame, hours: int = 48, least: float = 0.75,
     return _groups(candidate_pairs(signal_rows(articles, hours, encoder), **bars), articles, least)
 
 
+def detect_cross_language(foreign: DataFrame, canonical: DataFrame, least: float = 0.75, encoder: Provider | None = None, **bars: float) -> DataFrame:
+    """As detect_duplicates, of pairs of a foreign and a canonical row at any distance in time; translations' titles need a cosine of 0.40 only."""
+    both = foreign.withColumn("side", F.lit("foreign")).unionByName(canonical.withColumn("side", F.lit("canonical")))
+    pairs = candidate_pairs(signal_rows(both, None, encoder, ("side",)), side="side", **{"embedding": 0.40, **bars})
+    return _groups(pairs, both, least)
+
+
 def mark_duplicates(articles: DataFrame, found: DataFrame, new: DataFrame | None = None, protect: Column | None = None) -> DataFrame:
     """articles with is_duplicate and canonical_url_hash of the found duplicates.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from presswerk.functions.scoring import impact_rank
 from presswerk.functions.text import content_fingerprint
 from presswerk.operators import duplicates, queues, state
+from presswerk.session import materialize
 from presswerk.sources import providers
 from presswerk.sources.providers import CLASSIFIED, SUMMARIZED, Provider
 
@@ -46,10 +47,24 @@ def scrape(articles: DataFrame, pages: DataFrame) -> DataFrame:
     return state.mark_failed(state.apply_updates(articles, good, "url_hash", "scraped"), bad, "url_hash")
 
 
-def deduplicate(articles: DataFrame, **bars: float) -> DataFrame:
+def deduplicate(articles: DataFrame, as_of: Column | None = None, hours: int = 48, **bars) -> DataFrame:  # noqa: ANN003
+    """Marks new rows that tell what another new row or a processed one of the last hours tells; then surviving French and Italian ones that a surviving German one tells.
+
+    as_of: the end of these hours, by default the last collected_at. bars: as of detect_duplicates.
+    """
     queue = queues.dedup_queue(articles)
-    found = duplicates.detect_duplicates(queue, **bars)
-    return duplicates.mark_duplicates(articles, found, queue)
+    new = queue.select("url_hash").filter("url_hash IS NOT NULL").distinct()
+    last = F.lit(articles.agg(F.max("collected_at")).first()[0]).cast("timestamp") if as_of is None else as_of
+    processed = queues.recent(articles, last, hours).join(new, "url_hash", "left_anti")
+    rows = materialize(queue.unionByName(processed), "dedup-rows")
+    found = materialize(duplicates.detect_duplicates(rows, hours, **bars), "duplicates")
+    marked = duplicates.mark_duplicates(articles, found, new)
+    if "language" not in articles.columns:
+        return marked
+    left = rows.join(found.filter("url_hash != canonical").select("url_hash").distinct(), "url_hash", "left_anti")
+    foreign = queues.by_key(left, "url_hash", new).filter(F.col("language").isin("fr", "it"))
+    across = duplicates.detect_cross_language(foreign, left.filter("language = 'de'"), **{k: v for k, v in bars.items() if k != "embedding"})
+    return duplicates.mark_duplicates(marked, across, new, F.coalesce(F.col("language") == "de", F.lit(False)))
 
 
 def summarize(articles: DataFrame, cfg: Config) -> DataFrame:

@@ -103,3 +103,26 @@ def test_copies_are_paired_with_their_first(spark):
     rows = spark.createDataFrame([(k, f"h{k}", "https://a.ch/x/ubs-konkurs", "UBS in Konkurs", "eins zwei drei vier") for k in range(5)], "id bigint, url_hash string, url string, title string, content string").withColumn("collected_at", F.timestamp_seconds(F.lit(1_760_000_000)))
     got = duplicates.candidate_pairs(duplicates.signal_rows(rows)).collect()
     assert {(r["a"], r["b"]): tuple(r[s] for s in duplicates.SIGNALS) for r in got} == {(0, k): (1.0, None, 1.0, 1.0, 1.0) for k in range(1, 5)}
+
+
+def test_duplicates_across_runs_and_languages(spark):
+    columns = "url_hash string, id bigint, url string, title string, language string, feed_priority int, h int, content string, pipeline_stage string"
+    other = "ein ganz anderer text über das wetter am see und die berge im schnee"
+    made = [
+        ("old", 1, "https://a.ch/x/ubs-meldet-konkurs-heute", "UBS meldet Konkurs an", "de", 1, 0, "eins zwei drei vier", "digested"),
+        ("new", 2, "https://b.ch/y/ubs-meldet-konkurs-heute", "UBS meldet Konkurs an", "de", 2, 5, "eins zwei drei vier", "scraped"),
+        ("far", 3, "https://c.ch/p/roche-insolvenz-zug", "Roche Insolvenz Zug", "de", 1, -60, "sechs sieben acht neun", "summarized"),
+        ("late", 4, "https://d.ch/p/roche-insolvenz-zug", "Roche Insolvenz Zug", "de", 2, 5, "sechs sieben acht neun", "scraped"),
+        ("de", 5, "https://e.ch/q/novartis-basel-2025", "Novartis Basel 2025", "de", 2, 4, other, "scraped"),
+        ("it", 6, "https://f.ch/r/novartis-basel-2025-fallimento", "Novartis Basel 2025", "it", 1, 60, "tutta altra cosa che non si trova qui", "scraped"),
+        ("en", 7, "https://g.ch/r/novartis-basel-2025-else", "Novartis Basel 2025", "en", 3, 60, "something else that is not found over here", "scraped"),
+    ]
+    rows = spark.createDataFrame(made, columns).select("*", F.timestamp_seconds(F.lit(1_760_000_000) + F.col("h") * 3600).alias("collected_at"), F.lit("completed").alias("processing_status"), F.lit(None).cast("boolean").alias("is_duplicate"), F.lit(None).cast("string").alias("canonical_url_hash"))
+    done = P.deduplicate(rows.filter("h <= 5"), F.timestamp_seconds(F.lit(1_760_000_000 + 5 * 3600)))
+    assert {r["url_hash"]: r["canonical_url_hash"] for r in done.filter("is_duplicate").collect()} == {"new": "old"}
+    # 56 hours from the German one: found by the second pass only, which takes no English ones.
+    german = rows.withColumn("feed_priority", F.when(F.col("url_hash") == "de", 0).otherwise(F.col("feed_priority")))
+    both = P.deduplicate(german.filter("url_hash IN ('de', 'it')"), F.timestamp_seconds(F.lit(1_760_000_000 + 60 * 3600)))
+    assert {r["url_hash"]: r["canonical_url_hash"] for r in both.filter("is_duplicate").collect()} == {"it": "de"}
+    alone = P.deduplicate(german.filter("url_hash IN ('de', 'en')"), F.timestamp_seconds(F.lit(1_760_000_000 + 60 * 3600)))
+    assert alone.filter("is_duplicate").count() == 0
