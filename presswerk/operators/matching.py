@@ -46,6 +46,13 @@ def jaccard_pairs(df: DataFrame, key: str, tokens: str, threshold: float, block:
     return scored.filter(F.col("similarity") >= threshold - 1e-12).select("a", F.col("c").alias("b"), "similarity"), members
 
 
+def set_members(df: DataFrame, key: str, tokens: str) -> DataFrame:
+    """(key, rep): the members of jaccard_pairs alone: each row with the first row of its token set; empty and null sets have none."""
+    sets = df.select(F.col(key).alias("k"), F.array_sort(tokens).alias("t")).filter(F.size("t") > 0)
+    classes = sets.groupBy("t").agg(F.min("k").alias("rep"))
+    return sets.join(classes, "t").select(F.col("k").alias(key), "rep").distinct()
+
+
 def hamming_pairs(df: DataFrame, key: str, fingerprint: str, most: int = 3) -> tuple[DataFrame, DataFrame]:
     """(pairs, members) of 64-bit fingerprints at most so many bits apart.
 

@@ -90,11 +90,24 @@ def _jaccard_sql(tokens: str, of: str, key: str, threshold: float) -> str:
 @query(_jaccard_sql(_TOKENS, "articles", "id", 0.8))
 def title_jaccard_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Between one row of each set of title words."""
-    rows = table(spark, folder, "articles").select("id", X.title_tokens(F.col("title")).alias("t"))
-    pairs, _ = matching.jaccard_pairs(rows, "id", "t", 0.8)
+    pairs, _ = matching.jaccard_pairs(_title_sets(spark, folder), "id", "t", 0.8)
     return pairs.withColumn("similarity", F.round("similarity", 6))
 
 
+def _members_sql(tokens: str, of: str, key: str) -> str:
+    return f"SELECT DISTINCT k AS id, min(k) OVER (PARTITION BY t) AS rep FROM (SELECT {key} AS k, {tokens} AS t FROM {of}) WHERE len(t) > 0"
+
+
+def _title_sets(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "articles").select("id", X.title_tokens(F.col("title")).alias("t"))
+
+
+@query(_members_sql(_TOKENS, "articles", "id"))
+def title_jaccard_members(spark: SparkSession, folder: str) -> DataFrame:
+    """Each row with the row that stands for its set in title_jaccard_pairs: the links of similarity 1."""
+    return matching.set_members(_title_sets(spark, folder), "id", "t")
+
+
 _KEYWORDS = rf"list_sort(list_distinct(list_filter(regexp_extract_all(lower(title), '[\p{{L}}\p{{N}}_]+'), lambda t: length(t) > 3 AND regexp_matches(t, '^[a-zäöüß]+$') AND t NOT IN ({_KSTOP}))))"
 
 
@@ -105,6 +118,12 @@ def keyword_jaccard_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.withColumn("similarity", F.round("similarity", 6))
 
 
+@query(_members_sql(_KEYWORDS, "(SELECT * FROM documents WHERE title IS NOT NULL)", "doc_id"))
+def keyword_jaccard_members(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "documents").filter("title IS NOT NULL").select(F.col("doc_id").alias("id"), X.keywords(F.col("title")).alias("t"))
+    return matching.set_members(rows, "id", "t")
+
+
 _SLUG = rf"list_sort(list_distinct(list_filter(regexp_split_to_array(lower({_PATH}), '[/\-_.]'), lambda t: length(t) >= 3 AND NOT regexp_matches(t, '^\d+$'))))"
 
 
@@ -115,6 +134,12 @@ def slug_jaccard_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.withColumn("similarity", F.round("similarity", 6))
 
 
+@query(_members_sql(_SLUG, "articles", "id"))
+def slug_jaccard_members(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "articles").select("id", U.slug_tokens(F.col("url")).alias("t"))
+    return matching.set_members(rows, "id", "t")
+
+
 _WORDS = r"list_filter(regexp_split_to_array(lower(content), '\s+'), lambda w: w <> '')"
 _BITS = " + ".join(f"CASE WHEN 2 * list_sum(list_transform(h, lambda x: CAST((x >> {b}) & 1 AS INTEGER))) > len(h) THEN CAST({1 << b} AS HUGEINT) ELSE 0 END" for b in range(64))
 _SIM = rf"""SELECT id, CASE WHEN v >= 9223372036854775808 THEN CAST(v - 18446744073709551616 AS BIGINT) ELSE CAST(v AS BIGINT) END AS simhash FROM (
@@ -130,11 +155,12 @@ def simhash_values(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def simhash_near_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Fingerprints of the whole contents at most three bits apart; between one row of each fingerprint."""
+    """Fingerprints of the whole contents at most three bits apart, between one row of each fingerprint; and at distance 0, that row with each other one of its fingerprint."""
     rows = table(spark, folder, "articles").filter("content IS NOT NULL").select("id", "content")
     prints = materialize(simhash(rows, "id", "content").select("id", "simhash"), "simhash")
-    pairs, _ = matching.hamming_pairs(prints, "id", "simhash", 3)
-    return pairs.select("a", "b", F.col("distance").cast("bigint").alias("distance"))
+    pairs, members = matching.hamming_pairs(prints, "id", "simhash", 3)
+    same = members.filter("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(0).alias("distance")).distinct()
+    return pairs.unionByName(same).select("a", "b", F.col("distance").cast("bigint").alias("distance"))
 
 
 @query("""WITH q AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0)

@@ -149,3 +149,16 @@ def test_valid_groups(spark):
     for r in grouping.valid_groups(spark.createDataFrame(claims, "digest int, position int, label string, item int"), items, most=3).collect():
         got.setdefault(r["label"], set()).add(r["item"])
     assert got == {"Weitere Themen": {4, 5, 6, 7, 8, 9, 10, 11, 12, 3}, "A": {1, 2}}
+
+
+def test_links_at_no_distance_are_in_the_results(spark, tmp_path):
+    from presswerk.plans import texts
+
+    rows = [(1, "Bank meldet Konkurs", "eins zwei drei vier"), (2, "Konkurs meldet Bank", "EINS zwei drei vier"), (3, "Wetter heute schön", "sechs sieben acht neun")]
+    spark.createDataFrame(rows, "id bigint, title string, content string").withColumn("url", F.lit("https://a.ch/x/bank-konkurs")).write.parquet(f"{tmp_path}/articles.parquet")
+    spark.createDataFrame(rows, "doc_id bigint, title string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: sorted(tuple(r) for r in texts.QUERIES[name](spark, str(tmp_path)).collect())
+    assert run("simhash_near_pairs") == [(1, 2, 0)]
+    assert run("title_jaccard_members") == [(1, 1), (2, 1), (3, 3)]
+    assert run("keyword_jaccard_members") == [(1, 1), (2, 1), (3, 3)]
+    assert run("slug_jaccard_members") == [(1, 1), (2, 1), (3, 1)]
