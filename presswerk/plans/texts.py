@@ -153,6 +153,13 @@ def simhash_values(spark: SparkSession, folder: str) -> DataFrame:
     return simhash(rows, "id", "content").filter("simhash IS NOT NULL").select("id", "simhash")
 
 
+@query()
+def simhash_all_values(spark: SparkSession, folder: str) -> DataFrame:
+    """simhash_values of all rows with content, with a summary or without; its SQL of 64 sums is too slow for them."""
+    rows = table(spark, folder, "articles").filter("content IS NOT NULL").select("id", "content")
+    return simhash(rows, "id", "content").filter("simhash IS NOT NULL").select("id", "simhash")
+
+
 @query()
 def simhash_near_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of the whole contents at most three bits apart, between one row of each fingerprint; and at distance 0, that row with each other one of its fingerprint."""

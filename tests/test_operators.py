@@ -162,3 +162,20 @@ def test_links_at_no_distance_are_in_the_results(spark, tmp_path):
     assert run("title_jaccard_members") == [(1, 1), (2, 1), (3, 3)]
     assert run("keyword_jaccard_members") == [(1, 1), (2, 1), (3, 3)]
     assert run("slug_jaccard_members") == [(1, 1), (2, 1), (3, 1)]
+
+
+def test_simhash_of_rows_without_summary(spark, tmp_path):
+    import hashlib
+
+    from presswerk.plans import texts
+
+    made = [(1, "Eins zwei drei vier fünf", None), (2, "a b c", "x"), (3, "zu kurz", None), (4, None, "x")]
+    spark.createDataFrame(made, "id bigint, content string, summary string").write.parquet(f"{tmp_path}/articles.parquet")
+    want = {}
+    for key, text, _ in made:
+        words = (text or "").lower().split()
+        hashes = [int.from_bytes(hashlib.md5(" ".join(words[i : i + 3]).encode()).digest()[8:], "big") for i in range(len(words) - 2)]
+        value = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        if value:
+            want[key] = value - (1 << 64 if value >> 63 else 0)
+    assert {r["id"]: r["simhash"] for r in texts.QUERIES["simhash_all_values"](spark, str(tmp_path)).collect()} == want and set(want) == {1, 2}
