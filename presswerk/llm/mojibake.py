@@ -180,6 +180,12 @@ def judge(token: str, learned: list[Change]) -> str | None:
     return token if any("\x80" <= c <= "\x9f" for c in token) else None
 
 
+def _strange(token: str) -> int:
+    """How many quotes, symbols and controls stand between letters. Apostrophes, dashes and dots are at home there."""
+    inner = zip(token, token[1:], token[2:], strict=False)
+    return sum(c >= "\x80" and a.isalpha() and z.isalpha() and (c in "„“”‚«»‰†‡¿¡" or unicodedata.category(c) in ("Sc", "Sk", "Sm", "So", "No", "Cc")) for a, c, z in inner)
+
+
 def document_tokens(documents: DataFrame) -> DataFrame:
     """(doc_id, token): the distinct tokens with non-ASCII characters of each document."""
     found = F.filter(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)), lambda t: t.rlike(r"[^\x00-\x7f]"))
@@ -191,24 +197,39 @@ def skeleton(token: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(token, "(?<=Ã) ", ""), r"[^\x00-\x7f]+", "")
 
 
+def _told_by_signs(clean: str, garbled: str, change: Change) -> bool:
+    """Which of two spellings is the garbled one is plain from the signs within it, whatever the counts.
+
+    Letters don't tell: ä read as cp850 is õ, and õ in cp850 is read as ä.
+    """
+    return change[0] == "utf-8" or _strange(garbled) > _strange(clean)
+
+
 def _twin_changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for garbled, clean in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            rows += [(garbled, clean, CHANGES.index(c)) for c in infer(clean, _NBSP.sub("\xa0", garbled))]
+        for token, ref, common in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for garbled, clean, sure in ((token, ref, common), (ref, token, False)):
+                rows += [(garbled, clean, CHANGES.index(c)) for c in infer(clean, _NBSP.sub("\xa0", garbled)) if sure or _told_by_signs(clean, garbled, c)]
         columns = list(zip(*rows, strict=True)) or [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32())], names=["token", "fixed", "change"])
 
 
-def garbled_tokens(tokens: DataFrame, min_support: int = 2) -> DataFrame:
-    """(token, fixed): the garbled ones among (doc_id, token), restored where that is possible."""
-    vocabulary = materialize(tokens.groupBy("token").agg(F.count("*").alias("n")).withColumn("skeleton", skeleton(F.col("token"))), "vocabulary")
+def garbled_tokens(tokens: DataFrame, min_support: int = 2, copies: DataFrame | None = None) -> DataFrame:
+    """(token, fixed): the garbled ones among (doc_id, token), restored where that is possible.
+
+    copies: (doc_id) of documents whose text another one has. Spellings are compared by their
+    number of texts, and by documents only where that is equal.
+    """
+    counted = tokens.withColumn("_copy", F.lit(None)) if copies is None else tokens.join(copies.withColumn("_copy", F.lit(True)), "doc_id", "left")
+    number = F.shiftleft(F.count_if(F.col("_copy").isNull()), 32) + F.count("*")
+    vocabulary = materialize(counted.groupBy("token").agg(number.alias("n")).withColumn("skeleton", skeleton(F.col("token"))), "vocabulary")
     twins = vocabulary.filter(F.length("skeleton") >= 2)
-    # The commonest spellings of a skeleton are what the others are compared with. A token that
-    # is compared with none of its own is left to the learned changes, so nothing is dropped.
+    # The commonest spellings of a skeleton are what the others are compared with, to learn the
+    # changes. Spellings beyond these are looked up below, by what the learned changes make of them.
     top = twins.groupBy("skeleton").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("n", "token")))), 1, TWINS).alias("top"), F.count("*").alias("k")).filter("k > 1")
     refs = top.select("skeleton", F.explode("top").alias("r")).select("skeleton", F.col("r.n").alias("rn"), F.col("r.token").alias("ref"))
-    pairs = twins.join(refs, "skeleton").filter("token != ref AND rn >= n").select("token", "ref")
+    pairs = twins.join(refs, "skeleton").filter("token != ref").select("token", "ref", (F.col("rn") >= F.col("n")).alias("common"))
     evidence = materialize(pairs.mapInArrow(_twin_changes, "token string, fixed string, change int"), "changes")
     # At most len(CHANGES) rows.
     support = evidence.groupBy("change").agg(F.count_distinct("fixed").alias("k")).orderBy(F.desc("k"), "change").collect()
@@ -221,15 +242,31 @@ def garbled_tokens(tokens: DataFrame, min_support: int = 2) -> DataFrame:
             rows = [(t, f) for t in batch.column(0).to_pylist() if (f := judge(t, shared.value)) is not None]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], names=["token", "fixed"])
 
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for t, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for c in shared.value:
+                    out = restore(_NBSP.sub("\xa0", t), c)
+                    if out is not None and all(_fair(x) for x in out if x >= "\x80"):
+                        rows.append((t, out, n, _told_by_signs(out, t, c)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int64(), pa.bool_()))], names=["token", "fixed", "n", "sure"])
+
+    known = vocabulary.select(F.col("token").alias("fixed"), F.col("n").alias("rn"))
+    reached = vocabulary.filter(F.length("skeleton") >= 2).select("token", "n").mapInArrow(reach, "token string, fixed string, n bigint, sure boolean")
+    by_lookup = reached.join(known, "fixed").filter("token != fixed AND (sure OR rn >= n)").select("token", "fixed", F.lit(0).alias("rank"))
     by_twin = evidence.filter(F.col("change").isin(numbers)).select("token", "fixed", F.lit(0).alias("rank"))
     by_change = vocabulary.select("token").mapInArrow(run, "token string, fixed string").withColumn("rank", F.lit(1))
-    return by_twin.unionByName(by_change).groupBy("token").agg(F.min_by("fixed", F.struct("rank", "fixed")).alias("fixed"))
+    return by_twin.unionByName(by_lookup).unionByName(by_change).groupBy("token").agg(F.min_by("fixed", F.struct("rank", "fixed")).alias("fixed"))
 
 
 def _located(documents: DataFrame, min_support: int) -> DataFrame:
     """(doc_id, token, fixed) of every garbled token in a document."""
     tokens = document_tokens(documents)
-    found = materialize(garbled_tokens(tokens, min_support), "garbled")
+    texts = documents.filter(F.col("text").rlike(r"[^\x00-\x7f]")).groupBy(F.md5("text").alias("h")).agg(F.min(F.col("doc_id").cast("bigint")).alias("first"))
+    hashed = documents.filter(F.col("text").rlike(r"[^\x00-\x7f]")).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5("text").alias("h"))
+    copies = materialize(hashed.join(texts, "h").filter("doc_id != first").select("doc_id").distinct(), "copies")
+    found = materialize(garbled_tokens(tokens, min_support, copies), "garbled")
     return tokens.join(F.broadcast(found) if found.count() <= BROADCAST_TOKENS else found, "token")
 
 

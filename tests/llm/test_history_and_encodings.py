@@ -119,3 +119,23 @@ def test_shuffled_lookup_equals_broadcast(spark, monkeypatch):
     want = {r["doc_id"] for r in M.garbled_documents(df).collect()}
     monkeypatch.setattr(M, "BROADCAST_TOKENS", 0)
     assert {r["doc_id"] for r in M.garbled_documents(df).collect()} == want
+
+
+def test_garbled_spelling_that_copies_make_common(spark):
+    words = ["erhält", "zählt", "könnte", "schön"]
+    clean = [f"{w} und {k}" for k in range(3) for w in words]
+    # One text in more rows than all clean ones, and a skeleton with more spellings than TWINS.
+    bad = " ".join(w.encode("cp850").decode("cp1252", "replace") for w in words) + " " + "Gläubiger".encode("cp1252").decode("cp850")
+    more = [f"Gl{x}ubiger Nummer {k}" for x in "äáâàã" for k in range(4)] + ["Läge".encode("cp1252").decode("cp850"), "Läge", "Läge heute", "Häge".encode("cp1252").decode("cp850"), "Häge", "Häge heute"]
+    rows = [(k, t) for k, t in enumerate(clean + more)] + [(1000 + k, bad) for k in range(60)]
+    got = {r["doc_id"] for r in M.garbled_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    garbled = {k for k, t in rows if t == bad or "õ" in t}
+    assert got == garbled
+
+
+def test_spelling_beyond_the_commonest(spark, monkeypatch):
+    monkeypatch.setattr(M, "TWINS", 1)
+    bad = {w: w.encode("cp1252").decode("cp850") for w in ("Läge", "Häge", "Gläubiger")}
+    rows = [w for w in ("Läge", "Häge", "Gläubiger") for _ in range(3)] + ["Gléubiger"] * 9 + list(bad.values())
+    tokens = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, token string")
+    assert {r["token"]: r["fixed"] for r in M.garbled_tokens(tokens).collect()} == {v: k for k, v in bad.items()}
