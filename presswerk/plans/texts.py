@@ -298,6 +298,32 @@ def cross_language_candidates(spark: SparkSession, folder: str) -> DataFrame:
     return side("fr", "foreign_id").join(side("de", "german_id"), "company").select("foreign_id", "german_id").distinct()
 
 
+_SETS = """s AS (SELECT id, CASE WHEN language = 'de' THEN 'german' ELSE 'foreign' END AS side, list_sort(list_distinct(entities.companies)) AS arr FROM articles WHERE language IN ('fr', 'it', 'de') AND entities IS NOT NULL),
+          m AS (SELECT id, side, arr, min(id) OVER (PARTITION BY side, arr) AS rep FROM s WHERE len(arr) > 0)"""
+
+
+def _company_sets(spark: SparkSession, folder: str) -> DataFrame:
+    a = table(spark, folder, "articles").filter("language IN ('fr', 'it', 'de') AND entities IS NOT NULL")
+    side = F.when(F.col("language") == "de", "german").otherwise("foreign")
+    return a.select("id", side.alias("side"), F.array_sort(F.array_compact(F.array_distinct("entities.companies"))).alias("companies")).filter(F.size("companies") > 0)
+
+
+@query(f"""WITH {_SETS} SELECT f.rep AS foreign_id, d.rep AS german_id, count(*) AS shared FROM (SELECT DISTINCT rep, unnest(arr) AS c FROM m WHERE side = 'foreign') f JOIN (SELECT DISTINCT rep, unnest(arr) AS c FROM m WHERE side = 'german') d USING (c) GROUP BY ALL""")
+def cross_language_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """French and Italian against German rows that name common companies; between one row of each set of companies, whose others cross_language_members gives."""
+    sets = _company_sets(spark, folder).groupBy("side", "companies").agg(F.min("id").alias("id"))
+    of = lambda side: sets.filter(F.col("side") == side)
+    return duplicates.cross_language_pairs(of("foreign"), of("german"), "id").select(F.col("foreign").alias("foreign_id"), F.col("canonical").alias("german_id"), "shared")
+
+
+@query(f"WITH {_SETS} SELECT DISTINCT side, id, rep FROM m")
+def cross_language_members(spark: SparkSession, folder: str) -> DataFrame:
+    """Each row with the row that stands for its set of companies in cross_language_pairs."""
+    rows = _company_sets(spark, folder)
+    sets = rows.groupBy("side", "companies").agg(F.min("id").alias("rep"))
+    return rows.join(sets, ["side", "companies"]).select("side", "id", "rep").distinct()
+
+
 def _digest_rows(spark: SparkSession, folder: str, most: int = 20) -> DataFrame:
     rows = table(spark, folder, "articles").filter("included_in_digest AND digest_date IS NOT NULL").withColumn("_i", S.impact_rank(F.col("credit_impact")))
     top = state.ranked(rows, ["digest_date"], [F.asc("_i"), F.desc_nulls_last("cr_relevance"), F.desc_nulls_last("confidence"), F.asc("id")])

@@ -179,3 +179,13 @@ def test_simhash_of_rows_without_summary(spark, tmp_path):
         if value:
             want[key] = value - (1 << 64 if value >> 63 else 0)
     assert {r["id"]: r["simhash"] for r in texts.QUERIES["simhash_all_values"](spark, str(tmp_path)).collect()} == want and set(want) == {1, 2}
+
+
+def test_cross_language_takes_italian_and_tells_members(spark, tmp_path):
+    from presswerk.plans import texts
+
+    made = [(1, "de", ["UBS", "CS"]), (2, "de", ["CS", "UBS"]), (3, "it", ["UBS"]), (4, "fr", ["UBS"]), (5, "fr", ["Nestlé"]), (6, "en", ["UBS"]), (7, "it", None)]
+    spark.createDataFrame(made, "id bigint, language string, c array<string>").selectExpr("id", "language", "named_struct('companies', c) AS entities").write.parquet(f"{tmp_path}/articles.parquet")
+    run = lambda name: sorted(tuple(r) for r in texts.QUERIES[name](spark, str(tmp_path)).collect())
+    assert run("cross_language_pairs") == [(3, 1, 1)]
+    assert run("cross_language_members") == [("foreign", 3, 3), ("foreign", 4, 3), ("foreign", 5, 5), ("german", 1, 1), ("german", 2, 1)]
