@@ -39,6 +39,12 @@ def dedup_queue(spark: SparkSession, folder: str) -> DataFrame:
     return queues.dedup_queue(table(spark, folder, "articles"), 50).select("id")
 
 
+@query("SELECT id FROM articles WHERE pipeline_stage = 'scraped' AND processing_status = 'completed' AND NOT coalesce(is_duplicate, false)")
+def dedup_queue_all(spark: SparkSession, folder: str) -> DataFrame:
+    """dedup_queue without its limit."""
+    return queues.dedup_queue(table(spark, folder, "articles")).select("id")
+
+
 @query("SELECT id, error_count FROM articles WHERE pipeline_stage = 'collected' AND processing_status IN ('pending', 'failed') AND coalesce(error_count, 0) < 3")
 def pending_queue(spark: SparkSession, folder: str) -> DataFrame:
     return queues.pending_queue(table(spark, folder, "articles"), "collected").select("id", "error_count")

@@ -189,3 +189,13 @@ def test_cross_language_takes_italian_and_tells_members(spark, tmp_path):
     run = lambda name: sorted(tuple(r) for r in texts.QUERIES[name](spark, str(tmp_path)).collect())
     assert run("cross_language_pairs") == [(3, 1, 1)]
     assert run("cross_language_members") == [("foreign", 3, 3), ("foreign", 4, 3), ("foreign", 5, 5), ("german", 1, 1), ("german", 2, 1)]
+
+
+def test_dedup_queue_whole_and_in_order(spark, tmp_path):
+    from presswerk.plans import selection
+
+    rows = spark.range(60).selectExpr("id", "timestamp_seconds(1760000000 + id DIV 2) AS collected_at", "CAST(id % 2 AS int) AS feed_priority", "'scraped' AS pipeline_stage", "'completed' AS processing_status", "CAST(NULL AS boolean) AS is_duplicate")
+    rows.write.parquet(f"{tmp_path}/articles.parquet")
+    got = [r["id"] for r in selection.QUERIES["dedup_queue_all"](spark, str(tmp_path)).collect()]
+    assert got == [k for half in range(29, -1, -1) for k in (2 * half, 2 * half + 1)]
+    assert [r["id"] for r in queues.dedup_queue(rows, 3).collect()] == got[:3]
