@@ -197,6 +197,14 @@ class ExemplarIndex:
                             return kind
         return None
 
+    def sentences(self, line: str) -> list[tuple[str | None, int]]:
+        """(label or None, tokens) of each sentence of a line of several; nothing if none has a label."""
+        windows = [w for w in (words(s) for s in _SENTENCE.split(line)) if w]
+        if len(windows) < 2:
+            return []
+        kinds = [(None if self.keys.isdisjoint(w) else self.kind(w), len(w)) for w in windows]
+        return kinds if any(k for k, _ in kinds) else []
+
     def is_filler(self, window: list[str]) -> bool:
         if len(window) < 3 or self.latin_keys.isdisjoint(window):
             return False
@@ -219,12 +227,18 @@ class ExemplarIndex:
                 if line and not line.isspace():
                     lines[number] = (line, window)
                 continue
-            kind = None
+            kind, rest = None, len(window)
             if not keys.isdisjoint(window):
                 kind = self.kind(window)
                 if kind is None and len(window) <= 3 * self.short:
                     own = own or {*words(title or ""), *words(address or ""), *words(source or "")}
                     kind = self.quoted(window, own)
+                if kind is None and (parts := self.sentences(line)):
+                    hit = hit or any(k == "draft" for k, _ in parts)
+                    rest = sum(n for k, n in parts if k is None)
+                    residue += len(window) - rest
+                    if not rest:
+                        continue
             if kind is not None:
                 hit = hit or kind == "draft"
                 residue += len(window)
@@ -234,8 +248,8 @@ class ExemplarIndex:
             if has_slot(line):
                 hit = True
             lines[number] = (line, window)
-            if len(window) >= 8 and not _ADDRESS.match(line):
-                report += len(window)
+            if rest >= 8 and not _ADDRESS.match(line):
+                report += rest
         return hit or (residue > 0 and residue >= report), lines
 
 

@@ -113,3 +113,11 @@ def test_language_model_on_held_out_rows(spark, folder):
     model = language.fit([(r["lang"], r["text"]) for r in train])
     right = sum(language.LANGUAGES[model.line_scores([language._WORD.findall(r["text"].casefold())])[0].argmax()] == r["lang"] for r in held)
     assert right >= 0.97 * len(held)
+
+
+def test_two_messages_on_one_line():
+    index = ExemplarIndex({}, 1000)
+    line = "404 - Seite nicht gefunden. Bitte aktivieren Sie JavaScript, um diese Seite anzuzeigen."
+    assert index.page(line)[0] and index.page(line.replace(". ", ".\n"))[0]
+    prose = "Das Gericht prüft nun, ob genügend Mittel für die Gläubiger vorhanden sind. Die Kundschaft wurde am Montag über den Entscheid informiert und bleibt ruhig."
+    assert not index.page(prose)[0]
