@@ -28,7 +28,8 @@ OTHER = [
 def test_same_story(a, b):
     x, y = H.read_title(a, "Bote Altenau"), H.read_title(b, "Bote Altenau")
     assert H.same_story(x, y) and H.same_story(y, x) and H.Story.of(x.text()).text() == x.text()
-    assert (H.fingerprint(x) ^ H.fingerprint(y)).bit_count() <= H.MAX_DISTANCE
+    assert H.gate(x) == H.gate(y)
+    assert (H.fingerprint(x) ^ H.fingerprint(y)).bit_count() <= H.MAX_DISTANCE or set(H.variants(x)) & set(H.variants(y))
 
 
 @pytest.mark.parametrize(("a", "b"), OTHER)
@@ -41,7 +42,7 @@ def test_two_of_five_blocks_meet_within_three_bits(spark):
     base = [r.getrandbits(64) for _ in range(40)]
     moved = [b ^ sum(1 << k for k in r.sample(range(64), 3)) for b in base]
     sign = lambda x: x - (1 << 64) if x >> 63 else x
-    tables = [H.block_tables(spark.createDataFrame([(f"{n}{i}", sign(x)) for i, x in enumerate(xs)], "story string, fp bigint")) for n, xs in (("a", base), ("b", moved))]
+    tables = [H.block_tables(spark.createDataFrame([(f"{n}{i}", sign(x)) for i, x in enumerate(xs)], "story string, fp bigint").selectExpr("*", "7L AS gate", "CAST(array() AS array<bigint>) AS variants")) for n, xs in (("a", base), ("b", moved))]
     met = tables[0].alias("a").join(tables[1].alias("b"), "block").selectExpr("a.story AS a", "b.story AS b").distinct().collect()
     assert {(f"a{i}", f"b{i}") for i in range(40)} <= {tuple(m) for m in met}
 
@@ -83,10 +84,48 @@ def test_history_batch_by_batch(spark, tmp_path):
     df, _, order = batches(spark)
     store, found = H.History(spark, str(tmp_path / "history")), set()
     for run in ("r1", "r2", "r0", "r3"):
-        found |= {r["id"] for r in store.check(df.filter(df["run_id"] == run)).collect()}
+        found |= {r["id"] for r in store.check(df.filter(df["run_id"] == run), run).collect()}
     assert found == brute(order)
-    blocks = spark.read.parquet(str(tmp_path / "history/blocks"))
-    assert blocks.count() == 10 * blocks.select("story").distinct().count()
+    # Every row is either accepted once or a case; a check that runs again changes nothing.
+    before = store.accepted().count()
+    again = {r["id"] for r in store.check(df.filter("run_id = 'r0'"), "r0").collect()}
+    assert again <= found and store.accepted().count() == before == len(rows()) - len(found)
+
+
+def test_uncommitted_versions_are_not_read(spark, tmp_path):
+    store = H.History(spark, str(tmp_path / "h"))
+    df = spark.createDataFrame([(1, "x", "Helro SA (Altenau) perd un mandat – CHF 1,5 mio", "")], "id int, url_hash string, title string, source string")
+    store.check(df, "a")
+    df.selectExpr("CAST(9 AS bigint) AS id", "'y' AS url_hash", "'z' AS story").write.parquet(str(tmp_path / "h/v-broken/accepted"))
+    assert [r["id"] for r in store.accepted().collect()] == [1]
+    assert store.check(df.selectExpr("2 AS id", "'y' AS url_hash", "'nothing else' AS title", "source"), "b").count() == 0
+
+
+CHAIN = [
+    (1, "r1", "Falmonor AG (Altenau) meldet Konkurs an – 5,5 Mio. Franken"), (2, "r1", "Falmonor AG (Altenau) dépose le bilan – 5,5 millions de francs"),
+    (3, "r2", "Falmonor AG (Altenau) baut Werk mit neuen Stellen aus – 5,5 Mio. Franken"), (4, "r3", "Falmonor AG (Altenau) – 5,5 Mio."),
+]
+
+
+@pytest.mark.parametrize(("last", "cases"), [(3, set()), (4, {4})])
+def test_likeness_is_not_carried_on(spark, tmp_path, last, cases):
+    df = spark.createDataFrame([(*r, f"u{r[0]}", "") for r in CHAIN[:last]], "id int, run_id string, title string, url_hash string, source string")
+    runs = spark.createDataFrame([(f"r{k}", k) for k in (1, 2, 3)], "run_id string, k int").selectExpr("run_id", "timestamp_seconds(k) AS started_at")
+    assert {r["id"] for r in H.repeated_rows(df, runs).collect()} == cases
+    store, found = H.History(spark, str(tmp_path / "chain")), set()
+    for run in ("r1", "r2", "r3"):
+        found |= {r["id"] for r in store.check(df.filter(df["run_id"] == run)).collect()}
+    assert found == cases
+
+
+def test_general_titles_share_no_fingerprint():
+    r = random.Random(4)
+    words = ["".join(r.choice("bdfgklmnprstaeiou") for _ in range(7)) for _ in range(3000)]
+    for n in (5, 8, 13):
+        stories = [H.read_title(" ".join(r.choice(words) for _ in range(n))) for _ in range(500)]
+        assert not any(s.firm for s in stories) and len({H.fingerprint(s) for s in stories}) > 495
+        keys = [k for s in stories for k in {H.gate(s) ^ v for v in H.variants(s)}]
+        assert max(keys.count(k) for k in set(keys)) <= 3
 
 
 CLEAN = ["Die Firma kündigt für Mötthofen über zwanzig Verträge an, erklärte der Geschäftsführer später.", "La société de Chênavens a été fondée à l’été, précise le conseil.", "Per città e società la liquidità è più tesa, perché però manca."]
