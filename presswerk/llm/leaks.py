@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 _WORD = re.compile(r"[^\W_]+")
 _MARKS = re.compile("[̀-ͯ҃-֑҉-ֽؐ-ًؚ-ٟ᪰-᫿᷀-᷿⃐-⃿︠-︯]+")
-#: Items up to so many characters in all are broadcast; more are joined by shuffling.
-BROADCAST_CHARS = 32_000_000
+#: Items are looked for in blocks of about so many characters, each broadcast as an index.
+BLOCK_CHARS = 2_000_000
 #: So many words are remembered by a worker.
 SEEN_WORDS = 500_000
 
@@ -177,17 +177,22 @@ def _emit(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "item_id", "run", "errors"])
 
 
-def leaked_passages(documents: DataFrame, items: DataFrame, window: int = 13, max_errors: int = 1, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
+def leaked_passages(documents: DataFrame, items: DataFrame, window: int = 13, max_errors: int = 1, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, run, errors): documents with a window of the item at most max_errors words off.
 
     run is the longest stretch of words they share without error, errors the least number of
-    edits in a window.
+    edits in a window. The items are the stated queries, the documents all rows: a block of items
+    is one broadcast of bounded size, and the documents are scanned for it where they lie, so that
+    no piece, however common, brings rows together in one task.
     """
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL AND doc_id IS NOT NULL")
     items = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL AND item_id IS NOT NULL").distinct()
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    if chars <= broadcast_chars:
-        held = documents.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])
+    blocks = max(1, -(-chars // block_chars))
+
+    def search(block: int) -> DataFrame:
+        mine = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+        held = documents.sparkSession.sparkContext.broadcast([tuple(r) for r in mine.collect()])
         token = uuid.uuid4().hex
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,34 +206,10 @@ def leaked_passages(documents: DataFrame, items: DataFrame, window: int = 13, ma
 
         return docs.mapInArrow(scan, OUT)
 
-    size = max(1, (window + 1) // (max_errors + 2))
-
-    def shingles(step: int, key: str):  # noqa: ANN202
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keys, grams = [], []
-                for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    w = words(t)
-                    mine = {" ".join(w[i : i + size]) for i in range(0, len(w) - size + 1, step)}
-                    keys += [k] * len(mine)
-                    grams += mine
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(grams, pa.string())], names=[key, "piece"])
-
-        return run
-
-    pieces = items.mapInArrow(shingles(size, "item_id"), "item_id bigint, piece string")
-    # Candidates by piece; the pairs are made distinct before any text is moved.
-    pairs = docs.mapInArrow(shingles(1, "doc_id"), "doc_id bigint, piece string").join(pieces, "piece").select("doc_id", "item_id").distinct()
-    full = pairs.join(items.withColumnRenamed("text", "item"), "item_id").join(docs, "doc_id").select("doc_id", "item_id", "text", "item")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for d, i, t, item in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                out += [(d, i, *hit) for hit in ItemIndex([(i, item)], window, max_errors).match(t).values()]
-            yield _emit(out)
-
-    return full.mapInArrow(verify, OUT)
+    found = search(0)
+    for block in range(1, blocks):
+        found = found.unionByName(search(block))
+    return found
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:

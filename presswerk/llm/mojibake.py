@@ -22,23 +22,24 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from presswerk.session import materialize
 
 # Encodings that texts are written in and read in.
 WRITTEN = ("utf-8", "cp1252", "mac_roman", "cp850", "cp437")
 READ = ("cp1252", "latin-1", "mac_roman", "cp850", "cp437", "cp1251", "cp1250", "iso8859-15", "koi8-r", "cp866")
-#: Runs of letters, digits and non-ASCII characters with at least one of the latter; of at most
-#: 64 characters, so that scripts without spaces are cut. A plain space after Ã may be what
-#: became of a no-break space.
-_PART = r"(?:[A-Za-z0-9\x{80}-\x{10FFFF}]|(?<=Ã) (?=[a-z]))"
-TOKEN = rf"{_PART}{{1,64}}"
+#: Runs of letters, digits and non-ASCII characters. A plain space after Ã may be what became of a
+#: no-break space.
+TOKEN = re.compile("(?:[A-Za-z0-9\x80-\U0010ffff]|(?<=Ã) (?=[a-z]))+")
 #: So many garbled tokens are broadcast; more are joined by shuffling.
 BROADCAST_TOKENS = 200_000
+#: The changes are learned from this many spellings of a skeleton; all others are looked up by what the learned changes make of them.
 TWINS = 4
 
 
@@ -137,8 +138,6 @@ def restore(token: str, change: Change) -> str | None:
     return out if changed else None
 
 
-
-
 def _odd(token: str) -> bool:
     """A sign within a word, or an upper-case letter after a lower-case one, among the non-ASCII characters."""
     for i, c in enumerate(token):
@@ -187,10 +186,23 @@ def _strange(token: str) -> int:
 
 
 def document_tokens(documents: DataFrame) -> DataFrame:
-    """(doc_id, token): the distinct tokens with non-ASCII characters of each document."""
-    found = F.filter(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)), lambda t: t.rlike(r"[^\x00-\x7f]"))
-    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\x00-\x7f]"))
-    return docs.select("doc_id", F.explode(F.array_distinct(found)).alias("token"))
+    """(doc_id, token, text): the distinct tokens with non-ASCII characters of each document, and a hash of its text. Texts are read once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = TOKEN.findall
+        for batch in batches:
+            docs: list[int] = []
+            tokens: list[str] = []
+            texts: list[int] = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                mine = {t for t in find(text) if not t.isascii()}
+                tokens += mine
+                docs += [doc] * len(mine)
+                texts += [int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)] * len(mine)
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(tokens, pa.string()), pa.array(texts, pa.int64())], names=["doc_id", "token", "text"])
+
+    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL AND octet_length(text) != length(text)")
+    return materialize(docs.mapInArrow(run, "doc_id bigint, token string, text bigint"), "tokens")
 
 
 def skeleton(token: Column) -> Column:
@@ -215,20 +227,22 @@ def _twin_changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32())], names=["token", "fixed", "change"])
 
 
-def garbled_tokens(tokens: DataFrame, min_support: int = 2, copies: DataFrame | None = None) -> DataFrame:
-    """(token, fixed): the garbled ones among (doc_id, token), restored where that is possible.
+def garbled_tokens(tokens: DataFrame, min_support: int = 2) -> DataFrame:
+    """(token, fixed): the garbled ones among (doc_id, token, text), restored where that is possible.
 
-    copies: (doc_id) of documents whose text another one has. Spellings are compared by their
-    number of texts, and by documents only where that is equal.
+    text: what documents of one text share. Spellings are compared by their number of texts, and
+    by documents only where that is equal.
     """
-    counted = tokens.withColumn("_copy", F.lit(None)) if copies is None else tokens.join(copies.withColumn("_copy", F.lit(True)), "doc_id", "left")
-    number = F.shiftleft(F.count_if(F.col("_copy").isNull()), 32) + F.count("*")
-    vocabulary = materialize(counted.groupBy("token").agg(number.alias("n")).withColumn("skeleton", skeleton(F.col("token"))), "vocabulary")
+    # The documents of one text fall together before texts are counted.
+    texts = tokens.groupBy("token", "text").agg(F.count("*").alias("k")).groupBy("token").agg(F.count("*").alias("texts"), F.sum("k").alias("documents"))
+    vocabulary = texts.select("token", (F.shiftleft("texts", 32) + F.col("documents")).alias("n"), skeleton(F.col("token")).alias("skeleton"))
+    vocabulary = materialize(vocabulary, "vocabulary")
     twins = vocabulary.filter(F.length("skeleton") >= 2)
     # The commonest spellings of a skeleton are what the others are compared with, to learn the
     # changes. Spellings beyond these are looked up below, by what the learned changes make of them.
-    top = twins.groupBy("skeleton").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("n", "token")))), 1, TWINS).alias("top"), F.count("*").alias("k")).filter("k > 1")
-    refs = top.select("skeleton", F.explode("top").alias("r")).select("skeleton", F.col("r.n").alias("rn"), F.col("r.token").alias("ref"))
+    # A limit of ranks is kept to by every task before the shuffle, so no task gets all spellings.
+    place = F.row_number().over(Window.partitionBy("skeleton").orderBy(F.desc("n"), F.desc("token")))
+    refs = twins.withColumn("_place", place).filter(F.col("_place") <= TWINS).select("skeleton", F.col("n").alias("rn"), F.col("token").alias("ref"))
     pairs = twins.join(refs, "skeleton").filter("token != ref").select("token", "ref", (F.col("rn") >= F.col("n")).alias("common"))
     evidence = materialize(pairs.mapInArrow(_twin_changes, "token string, fixed string, change int"), "changes")
     # At most len(CHANGES) rows.
@@ -263,11 +277,8 @@ def garbled_tokens(tokens: DataFrame, min_support: int = 2, copies: DataFrame |
 def _located(documents: DataFrame, min_support: int) -> DataFrame:
     """(doc_id, token, fixed) of every garbled token in a document."""
     tokens = document_tokens(documents)
-    texts = documents.filter(F.col("text").rlike(r"[^\x00-\x7f]")).groupBy(F.md5("text").alias("h")).agg(F.min(F.col("doc_id").cast("bigint")).alias("first"))
-    hashed = documents.filter(F.col("text").rlike(r"[^\x00-\x7f]")).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5("text").alias("h"))
-    copies = materialize(hashed.join(texts, "h").filter("doc_id != first").select("doc_id").distinct(), "copies")
-    found = materialize(garbled_tokens(tokens, min_support, copies), "garbled")
-    return tokens.join(F.broadcast(found) if found.count() <= BROADCAST_TOKENS else found, "token")
+    found = materialize(garbled_tokens(tokens, min_support), "garbled")
+    return tokens.drop("text").join(F.broadcast(found) if found.count() <= BROADCAST_TOKENS else found, "token")
 
 
 def garbled_documents(documents: DataFrame, min_support: int = 2) -> DataFrame:
@@ -283,7 +294,7 @@ def restored_documents(documents: DataFrame, min_support: int = 2) -> DataFrame:
     """
     fixes = _located(documents, min_support).groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("token", "fixed"))).alias("fixes"))
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(fixes, "doc_id")
-    token = re.compile(TOKEN.replace(r"\x{80}-\x{10FFFF}", "\x80-\U0010ffff"))
+    token = TOKEN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -172,9 +172,15 @@ def test_garbled_spelling_that_copies_make_common(spark):
     assert got == garbled
 
 
+def test_long_tokens(spark):
+    run = "東光商事" * 60 + "für" + "名古屋" * 60
+    rows = [(1, run), (2, run.encode().decode("latin-1")), (3, "a" * 100_000 + " ä")]
+    assert [r["doc_id"] for r in M.garbled_documents(spark.createDataFrame([*rows, (4, "für für")], "doc_id bigint, text string")).collect()] == [2]
+
+
 def test_spelling_beyond_the_commonest(spark, monkeypatch):
     monkeypatch.setattr(M, "TWINS", 1)
     bad = {w: w.encode("cp1252").decode("cp850") for w in ("Läge", "Häge", "Gläubiger")}
     rows = [w for w in ("Läge", "Häge", "Gläubiger") for _ in range(3)] + ["Gléubiger"] * 9 + list(bad.values())
-    tokens = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, token string")
+    tokens = spark.createDataFrame([(k, t, k) for k, t in enumerate(rows)], "doc_id bigint, token string, text bigint")
     assert {r["token"]: r["fixed"] for r in M.garbled_tokens(tokens).collect()} == {v: k for k, v in bad.items()}
