@@ -1,13 +1,20 @@
 """Page furniture: telling menus, notices, stamps, prompts and footers from the report.
 
 The pages of a host are merged into one style tree, and the trees of all hosts into one above
-them (the host's own name is masked, so that its siblings' furniture agrees). Presentation
-nodes are the ways a line can stand there: as a line of its own, as a list of items between
-separators, or as a headline, which ends in the clause that headlines end in. Content nodes
-below them are the texts with digits and quoted names as slots. The importance of a content
-node that n of m pages hold, each page once, is 1 - log_m n: its entropy over the pages, turned
-round. Nodes below a bar are unimportant, and a line is furniture if a presentation of it has
-unimportant nodes only.
+them (the host's own name is masked, so that its siblings' furniture agrees). Below a host stand
+three elements: what comes above the report's first sentence, the report, and what comes below
+its last. Below an element stand its presentations, each a sequence of the ways its lines can
+stand there: a list of items between separators, a headline, a sentence or a phrase. At the
+leaves are the contents: the line with digits and quoted names as slots, the items of a list, and
+the clause that a headline ends in.
+
+The importance of a content that n of m pages hold, each page once, is 1 - log_m n: its entropy
+over the pages, turned round. The importance of an element is the entropy of its presentations
+over its pages (base m), and its composite importance mixes that with the mean importance of its
+contents, the less so the more presentations it has. A path is unimportant if the importance of
+its content, set off against how much less important its element is than the report's, is below a
+bar; such branches are cut. A line is furniture if one of its presentations has unimportant
+contents only.
 
 Copies of a report must not make its lines look like furniture: pages that share their longest
 line count as one. Lines of error pages and template residue are not furniture. Rows of null
@@ -30,10 +37,17 @@ from presswerk.operators.skew import join_counted
 from presswerk.session import materialize
 
 _SPACE, _DIGITS = re.compile(r"\s+"), re.compile(r"\d+")
-_QUOTED = re.compile(r"«[^«»]{1,40}»|“[^“”]{1,40}”|„[^„“]{1,40}“|\"[^\"]{1,40}\"|(?<!\w)'[^']{1,40}'(?!\w)")
+_QUOTED = re.compile(r"«[^«»]+»|“[^“”]+”|„[^„“]+“|\"[^\"]+\"|(?<!\w)'[^']+'(?!\w)")
+_QUOTE = re.compile("[«“„\"']")
 _LIST = re.compile(r"\s+[/|·•>»›]\s+")
 _AMOUNT = re.compile(r"(?:chf ?|eur ?|€ ?|\$ ?)?0[.,]0 ?(?:(?:millionen|mio\.?|millions?|milioni|m\b|mrd\.?|milliarden|milliards?|miliardi|billion)(?: (?:de |di )?(?:franken|francs?|franchi|euro))?)?")
 LINE, LIST, HEADLINE = 0, 1, 2
+#: Elements of a page.
+ABOVE, REPORT, BELOW = 0, 1, 2
+#: A sentence of the report has at least so many words.
+SENTENCE_WORDS = 8
+#: How fast the presentations of an element count for more than its contents, and how much an element counts beside a content.
+FOLD, ELEMENT_WEIGHT = 0.9, 0.05
 
 
 def key(text: str) -> int:
@@ -45,7 +59,7 @@ def masked(line: str, host: str) -> str:
     t = _SPACE.sub(" ", line).strip().casefold()
     if host:
         t = t.replace(host, "<h>")
-    return _DIGITS.sub("0", _QUOTED.sub("<q>", t))
+    return _DIGITS.sub("0", _QUOTED.sub("<q>", t) if _QUOTE.search(t) else t)
 
 
 def tail(text: str) -> str:
@@ -56,14 +70,8 @@ def tail(text: str) -> str:
     return text[end:].strip(" :,–-)(|") if end is not None else ""
 
 
-#: Longer lines are no list and no headline, and stand for the words they hold, with digits masked.
-LONG = 300
-
-
-def line_nodes(line: str, words: list[str], host: str) -> list[tuple[int, int, int]]:
+def line_nodes(line: str, host: str) -> list[tuple[int, int, int]]:
     """(presentation, nodes that must be unimportant, content node) of a line."""
-    if len(line) > LONG and words:
-        return [(LINE, 1, key(" ".join(["0" if w[0].isdigit() else w for w in words])))]
     t = masked(line, host)
     if not t:
         return []
@@ -71,7 +79,7 @@ def line_nodes(line: str, words: list[str], host: str) -> list[tuple[int, int, i
     if t[-1] in ".!?":
         return out
     items = _LIST.split(t)
-    if len(items) > 1 and all(x.count(" ") < 4 for x in items):
+    if len(items) > 1:
         distinct = {key(x) for x in items}
         out += [(LIST, len(distinct), k) for k in distinct]
     if "0" in t and (end := tail(t)) and " " in end:
@@ -79,8 +87,19 @@ def line_nodes(line: str, words: list[str], host: str) -> list[tuple[int, int, i
     return out
 
 
-PAGE = "id bigint, label string, address string, host bigint, sig bigint, residue boolean, line_no array<int>, way array<int>, need array<int>, node array<bigint>, report_lines array<int>, scores array<float>, title_scores array<float>"
-_TYPES = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), *[pa.list_(pa.int32())] * 3, pa.list_(pa.int64()), pa.list_(pa.int32()), *[pa.list_(pa.float32())] * 2]
+def elements(lines: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """The element of each line of a page, and a hash of the presentation of each element, from (text, words, last way)."""
+    told = [n for n, (text, words, _) in enumerate(lines) if words >= SENTENCE_WORDS and text.rstrip()[-1:] in ".!?…»”\""]
+    first, last = (told[0], told[-1]) if told else (0, len(lines))
+    where = [ABOVE if n < first else BELOW if n > last else REPORT for n in range(len(lines))]
+    forms: list[list[str]] = [[], [], []]
+    for spot, (text, _, way) in zip(where, lines, strict=True):
+        forms[spot].append("lh"[way - 1] if way else "s" if text.rstrip()[-1:] in ".!?…" else "p")
+    return where, [key("".join(f)) for f in forms]
+
+
+PAGE = "id bigint, label string, address string, host bigint, sig bigint, residue boolean, styles array<bigint>, line_no array<int>, spot array<int>, way array<int>, need array<int>, node array<bigint>, report_lines array<int>, scores array<float>, title_scores array<float>"
+_TYPES = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 4, pa.list_(pa.int64()), pa.list_(pa.int32()), *[pa.list_(pa.float32())] * 2]
 _NAMES = [x.split()[0] for x in PAGE.split(", ")]
 
 
@@ -99,12 +118,14 @@ def read_pages(articles: DataFrame, index: ExemplarIndex, label: Column | None =
                     hosts[source] = (_SPACE.sub(" ", source).strip().casefold(), key(source))
                 host, number = hosts[source]
                 case, lines = residue.page(content, title, url, source)
-                nodes = [(n, *x) for n, (line, words) in lines.items() for x in line_nodes(line, words, host)]
+                told = [line_nodes(line, host) for line, _ in lines.values()]
+                where, styles = elements([(line, len(words), found[-1][0] if found else 0) for (line, words), found in zip(lines.values(), told, strict=True)])
+                nodes = [(n, spot, *x) for n, spot, found in zip(lines, where, told, strict=True) for x in found]
                 sig = key(" ".join(max((w for _, w in lines.values()), key=len, default=())) or content)
                 scores = score([w for _, w in lines.values()]).ravel() if score and not case else None
-                columns = list(zip(*nodes, strict=True)) or [(), (), (), ()]
+                columns = list(zip(*nodes, strict=True)) or [()] * 5
                 named = score([tokens(title or "")]).ravel() if score and not case else None
-                out.append((i, lab, addr, number, sig, case, *columns, tuple(lines) if score else None, scores, named))
+                out.append((i, lab, addr, number, sig, case, styles, *columns, tuple(lines) if score else None, scores, named))
             cells = list(zip(*out, strict=True)) or [()] * len(_TYPES)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, _TYPES, strict=True)], names=_NAMES)
 
@@ -117,50 +138,70 @@ def read_pages(articles: DataFrame, index: ExemplarIndex, label: Column | None =
 
 
 def title_tails(articles: DataFrame) -> DataFrame:
-    """(host, sig, node) of the clause each distinct title ends in."""
+    """(sig, node) of the clause each distinct title ends in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(key(t), key("tail:" + end)) for t in batch.column(0).to_pylist() if " " in (end := tail(masked(t, "")))]
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(rows), pa.int64()), *(pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1))], names=["host", "sig", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["sig", "node"])
 
-    return articles.filter("title IS NOT NULL").select(F.col("title").cast("string")).distinct().mapInArrow(run, "host bigint, sig bigint, node bigint")
+    return articles.filter("title IS NOT NULL").select(F.col("title").cast("string")).distinct().mapInArrow(run, "sig bigint, node bigint")
 
 
 def furniture_lines(articles: DataFrame, min_pages: int = 5, share: float = 2e-4, host_share: float = 1e-2) -> DataFrame:
     """p2: (id, line_no) of the lines that are not part of the report.
 
-    A node is unimportant if its importance is at most 1 - log_m b, with b = min_pages or a
+    A content is unimportant if its importance is at most 1 - log_m b, with b = min_pages or a
     share of the m pages, whichever is more: `share` in the tree of all hosts, `host_share` in
-    that of one host.
+    that of one host. ELEMENT_WEIGHT times what its element's composite importance lacks to that
+    of the report's is taken off first.
     """
     return furniture_of(read_pages(articles, exemplar_index(articles)), title_tails(articles), min_pages, share, host_share)
 
 
+def element_importance(pages: DataFrame, contents: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(host, lacks): of each element of a host, by how much its composite importance is less than that of the report; more is negative.
+
+    contents: (host, spot, n) of each content node; sizes: (host, m).
+    """
+    spots = pages.select("host", "sig", F.posexplode("styles").alias("spot", "style")).groupBy("host", "spot", "style").agg(F.count_distinct("sig").alias("n"))
+    by = spots.groupBy("host", "spot").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"), F.sum(F.col("n") * F.log("n")).alias("_s"))
+    nats = F.log("all") - F.col("_s") / F.col("all")
+    presented = by.select("host", "spot", "kinds", F.when(F.col("all") > 1, nats / F.log("all")).otherwise(1.0).alias("presentation"))
+    held = contents.filter("spot IS NOT NULL").groupBy("host", "spot").agg(F.sum(F.log("n")).alias("_l"), F.count("*").alias("_c"))
+    held = held.join(sizes, "host").select("host", "spot", F.when(F.col("m") > 1, 1 - F.col("_l") / F.col("_c") / F.log("m")).otherwise(1.0).alias("content"))
+    fold = F.pow(F.lit(FOLD), F.col("kinds"))
+    both = presented.join(held, ["host", "spot"], "left").withColumn("importance", (1 - fold) * F.col("presentation") + fold * F.coalesce("content", F.lit(1.0)))
+    at = [F.coalesce(F.max(F.when(F.col("spot") == k, F.col("importance"))), F.lit(1.0)) for k in (ABOVE, REPORT, BELOW)]
+    return both.groupBy("host").agg(F.array(*at).alias("_i")).select("host", F.transform("_i", lambda x: F.col("_i")[REPORT] - x).alias("lacks"))
+
+
 def furniture_of(pages: DataFrame, tails: DataFrame, min_pages: int = 5, share: float = 2e-4, host_share: float = 1e-2) -> DataFrame:
     """furniture_lines for pages that are read already."""
-    nodes = pages.select("id", "host", "sig", F.explode(F.arrays_zip("line_no", "way", "need", "node")).alias("x")).select("id", F.col("x.line_no").cast("bigint").alias("line_no"), "host", "sig", "x.way", "x.need", "x.node")
-    nodes = materialize(nodes, "style-nodes")
-    held = nodes.select("host", "sig", "node", F.lit(1).alias("rows")).unionByName(tails.withColumn("rows", F.lit(0)))
+    nodes = pages.select("id", "host", "sig", F.explode(F.arrays_zip("line_no", "spot", "way", "need", "node")).alias("x")).select("id", F.col("x.line_no").cast("bigint").alias("line_no"), "host", "sig", "x.spot", "x.way", "x.need", "x.node")
     # Each page once: first by host, then over all hosts; both aggregations combine before the shuffle.
-    by_host = held.groupBy("host", "node", "sig").agg(F.sum("rows").alias("rows"))
-    by_host = by_host.groupBy("host", "node").agg(F.count("*").alias("n"), F.sum("rows").alias("_n")).filter(F.col("n") >= min_pages)
-    over_all = held.groupBy("node", "sig").agg(F.sum("rows").alias("rows")).groupBy("node").agg(F.count("*").alias("n"), F.sum("rows").alias("_n")).filter(F.col("n") >= min_pages)
+    by_host = nodes.groupBy("host", "node", "sig").agg(F.count("*").alias("rows"), F.min("spot").alias("spot")).groupBy("host", "node").agg(F.count("*").alias("n"), F.sum("rows").alias("_n"), F.min("spot").alias("spot"))
+    by_host = materialize(by_host, "style-tree")
+    held = nodes.select("node", "sig").unionByName(tails.select("node", "sig"))
+    over_all = held.groupBy("node", "sig").agg(F.lit(1)).groupBy("node").agg(F.count("*").alias("n_all"))
     distinct = pages.select("host", "sig").distinct()
     sizes = distinct.groupBy("host").agg(F.count("*").alias("m"))
-    number = max(2, distinct.agg(F.count_distinct("sig")).first()[0])
+    number = float(max(2, distinct.agg(F.count_distinct("sig")).first()[0]))
 
-    def unimportant(importance, part: float, m):  # noqa: ANN001, ANN202
-        return importance <= 1 - F.log(F.greatest(F.lit(float(min_pages)), m * part)) / F.log(m.cast("double")) + 1e-9
+    def bar(part: float, m):  # noqa: ANN001, ANN202
+        """log_m of the pages that a content of an element of full importance must stand in."""
+        return F.log(F.greatest(F.lit(float(min_pages)), m * part)) / F.log(m)
 
+    # One row a host: what its elements lack.
+    hosts = materialize(element_importance(pages, by_host, sizes).join(sizes, "host"), "elements")
     m = F.lit(number)
-    low = materialize(over_all.withColumn("importance", 1 - F.log("n") / F.log(m.cast("double"))).filter(unimportant(F.col("importance"), share, m)).select("node", "_n"), "unimportant")
-    m = F.col("m")
-    low_host = by_host.join(sizes.filter("m > 1"), "host").withColumn("importance", 1 - F.log("n") / F.log(m.cast("double"))).filter(unimportant(F.col("importance"), host_share, m))
-    # Only what the tree of all hosts kept is looked up by host.
-    low_host = materialize(low_host.join(low, "node", "left_anti").select("host", "node", "_n"), "unimportant-by-host")
-    hit = join_counted(nodes, low, ["node"], "_n", "left_semi").unionByName(join_counted(nodes, low_host, ["host", "node"], "_n", "left_semi"))
-    hit = hit.select("id", "line_no", "way", "need", "node")
+    # No element lacks more than 1.
+    common = over_all.filter(F.log("n_all") / F.log(m) >= bar(share, m) - ELEMENT_WEIGHT - 1e-9)
+    placed = by_host.join(common, "node", "left").filter(F.col("n_all").isNotNull() | (F.col("n") > 1)).join(hosts, "host")
+    lack = ELEMENT_WEIGHT * F.element_at("lacks", F.col("spot") + 1)
+    low = (F.log("n_all") / F.log(m) >= bar(share, m) - lack - 1e-9) | ((F.col("m") > 1) & (F.col("n") > 1) & (F.log("n") / F.log("m") >= bar(host_share, F.col("m").cast("double")) - lack - 1e-9))
+    cut = materialize(placed.filter(low).select("host", "node", "_n"), "unimportant")
+    hit = join_counted(nodes.drop("sig", "spot"), cut, ["host", "node"], "_n", "left_semi")
     alone = hit.filter("need = 1").select("id", "line_no")
     listed = hit.filter("need > 1").groupBy("id", "line_no", "way", "need").agg(F.count_distinct("node").alias("k")).filter("k >= need").select("id", "line_no")
     return alone.unionByName(listed).distinct()

@@ -34,7 +34,8 @@ LANGUAGES = ("de", "fr", "it", "en")
 CODES = {"de": "de", "deu": "de", "ger": "de", "fr": "fr", "fra": "fr", "fre": "fr", "it": "it", "ita": "it", "en": "en", "eng": "en"}
 #: At most so many labelled rows a language are fitted on.
 SAMPLE = 1500
-VOCABULARY = 40_000
+#: Words seen less often in the sample tell nothing: their ratios are all noise.
+LEAST_SEEN = 3
 _WORD = re.compile(r"[^\W\d_]{2,}")
 
 
@@ -47,11 +48,11 @@ def declared(label: Column) -> Column:
 class WordModel:
     """Log-likelihood ratios of words by language."""
 
-    def __init__(self, counts: list[Counter], agreement: float = 0.9) -> None:
+    def __init__(self, counts: list[Counter], agreement: float = 0.9, stay: float = 0.97) -> None:
         total = Counter()
         for c in counts:
             total.update(c)
-        words = [w for w, n in sorted(total.items(), key=lambda x: (-x[1], x[0])) if n > 2][:VOCABULARY]
+        words = [w for w, n in sorted(total.items(), key=lambda x: (-x[1], x[0])) if n >= LEAST_SEEN]
         table = np.array([[c[w] + 0.3 for c in counts] for w in words], np.float64).reshape(len(words), len(counts))
         sizes = np.array([sum(c.values()) + 0.3 * (len(words) + 1) for c in counts])
         logs = np.log(table / sizes)
@@ -59,7 +60,8 @@ class WordModel:
         telling = np.ptp(logs, axis=1) > 1.0
         self.ids = {w: i for i, w in enumerate(w for w, t in zip(words, telling, strict=True) if t)}
         self.scores = np.vstack([np.clip(logs[telling], -4, 4), np.zeros((1, len(counts)))]).astype(np.float32)
-        self.agreement = agreement
+        #: How often a page is in the language it declares, and a line in that of its page.
+        self.agreement, self.stay = agreement, stay
 
     def line_scores(self, lines: list[list[str]]) -> np.ndarray:
         """One row of scores for each line of words."""
@@ -83,13 +85,19 @@ def fit(rows: list[tuple[str, str]]) -> WordModel:
         for line in lines:
             counts[lang].update(line)
     first = WordModel(counts)
-    counts, agree = [Counter() for _ in LANGUAGES], 1
+    counts, agree, same, number = [Counter() for _ in LANGUAGES], 1, 1, 2
     for lang, lines in pages:
+        if not lines:
+            continue
         scores = first.line_scores(lines)
-        agree += int(scores.sum(axis=0).argmax() == lang) if len(lines) else 0
-        for line, best in zip(lines, scores.argmax(axis=1), strict=True):
+        main = scores.sum(axis=0).argmax()
+        agree += int(main == lang)
+        for line, row in zip(lines, scores, strict=True):
+            best = row.argmax()
             counts[best].update(line)
-    return WordModel(counts, min(0.98, max(0.5, agree / (len(pages) + 1))))
+            if np.ptp(row) > 3:  # lines of a name or two tell no language
+                same, number = same + int(best == main), number + 1
+    return WordModel(counts, min(0.98, max(0.5, agree / (len(pages) + 1))), min(0.99, max(0.5, same / number)))
 
 
 def labelled_sample(articles: DataFrame, per_language: int = SAMPLE) -> list[tuple[str, str]]:
@@ -130,9 +138,13 @@ def host_of(articles: DataFrame) -> Column:
 OUT = "id bigint, line_no bigint, lang string, confidence double"
 
 
-def detect_languages(articles: DataFrame, per_language: int = SAMPLE, main_prior: float = 0.97, title_weight: float = 4.0) -> DataFrame:
-    """(id, line_no, lang, confidence): line_no 0 and the page's language where the label lacks or misses it, and each line of the report in another language."""
+def detect_languages(articles: DataFrame, per_language: int = SAMPLE, main_prior: float | None = None, title_weight: float = 4.0) -> DataFrame:
+    """(id, line_no, lang, confidence): line_no 0 and the page's language where the label lacks or misses it, and each line of the report in another language.
+
+    main_prior: how often a line is in its page's language, by default as in the sample.
+    """
     model = fit(labelled_sample(articles, per_language))
+    main_prior = model.stay if main_prior is None else main_prior
     agreement = model.agreement
     pages = read_pages(articles, exemplar_index(articles), declared(articles["language"]), host_of(articles), model.line_scores)
     furniture = furniture_of(pages, title_tails(articles)).groupBy("id").agg(F.collect_list(F.col("line_no").cast("int")).alias("furniture"))

@@ -3,8 +3,12 @@
 Labelled exemplars of such text are kept in an inverted index from their rarest terms. Lines and
 sentences are the passage windows; a window retrieves exemplars by its terms, and TF-IDF
 containment (the share of the window's weight that the exemplar covers, or, for exemplars with
-an open part, the share of the exemplar that the window covers in order) decides. Document
-frequencies of the exemplars' terms are counted over all rows.
+an open part, the share of the exemplar that the window covers in order) decides. A message in
+other words is covered by several exemplars of one label and language together: their terms are
+pooled, and a window that the pool covers, with several terms that only such messages have, has
+its label. Document frequencies of the exemplars' terms are counted over all rows. Unfilled slots
+are exemplars too, of signs instead of words: their opening signs are the index, what stands
+between must have the form of a name or an expression.
 
 A page is a case if a sentence or line is filler, a draft mark or holds an unfilled slot, or if
 error and script messages make up at least half of its text. Pages of null or blank content
@@ -22,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from presswerk.functions.text import STOP_WORDS
+
 # Labelled exemplars. An asterisk is an open part of any length; digits agree with any digits.
 EXEMPLARS: dict[str, tuple[str, ...]] = {
     "error": (
@@ -42,6 +48,10 @@ EXEMPLARS: dict[str, tuple[str, ...]] = {
         "Travaux de maintenance: nous revenons tout de suite.", "Lavori di manutenzione: torniamo subito.",
         "Service temporarily unavailable, please try again later.", "Dienst vorübergehend nicht verfügbar, bitte versuchen Sie es später erneut.",
         "Service momentanément indisponible, veuillez réessayer plus tard.", "Servizio temporaneamente non disponibile, riprovate più tardi.",
+        "Diese Seite ist leider nicht verfügbar oder wurde gelöscht.", "Der angeforderte Inhalt ist nicht mehr vorhanden.", "Es ist ein unerwarteter Fehler aufgetreten, bitte versuchen Sie es noch einmal.",
+        "Le document demandé n'est plus disponible ou a été supprimé.", "Une erreur inattendue est survenue, veuillez réessayer.", "Le contenu que vous cherchez n'existe pas.",
+        "Il contenuto richiesto non è più disponibile o è stato rimosso.", "Si è verificato un errore imprevisto, si prega di riprovare.", "La pagina che cercate non esiste.",
+        "We're sorry, the content you requested is no longer available or has been removed.", "An unexpected error has occurred, please try again.", "We could not find what you were looking for on our server.",
     ),
     "script": (
         "Please enable JavaScript to view this page.", "Please enable JavaScript and cookies to continue.", "You need to enable JavaScript to run this app.",
@@ -55,6 +65,11 @@ EXEMPLARS: dict[str, tuple[str, ...]] = {
         "Just a moment, we are verifying that you are not a robot.", "Checking your browser before accessing the site.",
         "Einen Moment, wir prüfen Ihren Browser. Danach werden Sie weitergeleitet.", "Un instant, nous contrôlons votre navigateur avant de vous rediriger.",
         "Un attimo, stiamo verificando il vostro browser prima di proseguire.", "Bitte bestätigen Sie, dass Sie kein Roboter sind.",
+        "Sie müssen JavaScript und Cookies aktivieren, um fortzufahren.", "Vous devez activer JavaScript et les cookies pour continuer.", "È necessario attivare JavaScript e i cookie per continuare.",
+        "JavaScript ist in Ihrem Browser deaktiviert; schalten Sie es in den Einstellungen ein.", "Ohne JavaScript funktioniert diese Website nicht richtig.",
+        "JavaScript est désactivé dans votre navigateur; activez-le dans les paramètres.", "Ce site nécessite JavaScript pour fonctionner correctement.",
+        "JavaScript è disattivato nel browser; attivatelo nelle impostazioni.", "Questo sito richiede JavaScript per funzionare correttamente.",
+        "JavaScript is disabled in your browser; turn it on in the settings.", "This site requires JavaScript to work properly and your browser does not support it.",
     ),
     # Machine messages with an open part.
     "message": (
@@ -77,21 +92,23 @@ EXEMPLARS: dict[str, tuple[str, ...]] = {
     ),
 }
 
-#: Slots that a template engine or an editor left unfilled.
-SLOT = re.compile(
-    r"\{\{[^{}\n]{0,60}\}\}|\{%[^{}%\n]{0,60}%\}|<%=?[^<>%\n]{0,60}%>|[$#]\{[^{}\n]{0,60}\}|%\([\w.]{1,40}\)[sd]|%[A-ZÄÖÜ][A-ZÄÖÜ0-9_.]*%"
-    r"|\[\[[^\[\]\n]{1,60}\]\]|@@[\w.]{1,40}@@|__[A-ZÄÖÜ][A-ZÄÖÜ0-9_.]*?__|\{\d+\}|\{[a-z_]+(?:\.[a-z_]+)*\}|<[A-ZÄÖÜ][A-ZÄÖÜ0-9_.]{2,}>"
-    r"|\[object Object\]",
-)
-_SLOT_WORDS = re.compile(
-    r"\[[\w.]{1,40} (?:einfügen|ergänzen|einzusetzen|à compléter|à insérer|à remplir|da inserire|inserire|da completare|to complete|to insert|to be added)\]|\[(?:insert|your|einfügen|insérer|inserire) [^\[\]\n]{1,40}\]",
-    re.IGNORECASE,
-)
-_SLOT_TWINS = re.compile(r"\b(XXX|TK|TBD|TODO)\s+[\w.]{1,40}\s+\1\b")
-_BRACKET = re.compile(r"[{\[<%@_]|XXX|TK |TBD|TODO")
+# Labelled exemplars of slots that a template engine or an editor left unfilled: opening sign,
+# closing sign, form of what stands between.
+_NAME, _UPPER, _TAG = r"[\w.]+", r"[A-ZÄÖÜ][A-ZÄÖÜ0-9_.]*", r"[A-ZÄÖÜ][A-ZÄÖÜ0-9_.]{2,}"
+SLOTS: tuple[tuple[str, str, str], ...] = (
+    ("{{", "}}", r"[^{}\n]*"), ("{%", "%}", r"[^{}%\n]*"), ("<%", "%>", r"[^<>%\n]*"), ("${", "}", r"[^{}\n]*"), ("#{", "}", r"[^{}\n]*"), ("%(", ")s", _NAME), ("%(", ")d", _NAME), ("[[", "]]", r"[^\[\]\n]+"), ("@@", "@@", _NAME),
+    ("__", "__", _UPPER), ("%", "%", _UPPER), ("{", "}", r"\d+|[a-z_]+(?:\.[a-z_]+)*"), ("<", ">", _TAG), ("[object ", "]", "Object"),
+    ("[", "]", r"(?i:[\w.]+ (?:einfügen|ergänzen|einzusetzen|à compléter|à insérer|à remplir|da inserire|inserire|da completare|to complete|to insert|to be added)|(?:insert|your|einfügen|insérer|inserire) [^\[\]\n]+)"),
+    ("XXX ", " XXX", _NAME), ("TK ", " TK", _NAME), ("TBD ", " TBD", _NAME), ("TODO ", " TODO", _NAME),
+)
+_OPENING = re.compile("|".join(re.escape(o) for o in sorted({o for o, _, _ in SLOTS}, key=len, reverse=True)))
+_SLOTS_BY_SIGN = {o: [re.compile(rf"{re.escape(o)}\s*(?:{form})\s*{re.escape(c)}" if c[0] == " " else re.escape(o) + f"(?:{form})" + re.escape(c)) for x, c, form in SLOTS if x == o] for o, _, _ in SLOTS}
 _TOKEN = re.compile(r"[^\W\d_]+|\d+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 _ADDRESS = re.compile(r"^\s*(?:https?://|www\.)\S+\s*$")
+#: Letters of a word that a pool goes by.
+STEM = 6
 CLOSED, OPEN, FILLER = ("error", "script"), ("message", "draft"), ("filler",)
 
 
@@ -105,38 +122,48 @@ def tokens(text: str) -> list[str]:
 
 
 def has_slot(text: str) -> bool:
-    return bool(_BRACKET.search(text) and (SLOT.search(text) or _SLOT_WORDS.search(text) or _SLOT_TWINS.search(text)))
+    """Whether an exemplar of a slot stands in the text. A sign is looked up with the shorter ones that it begins with."""
+    at = 0
+    while m := _OPENING.search(text, at):
+        at = m.start() + 1
+        word_before = m[0][0].isalpha() and m.start() > 0 and (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_")
+        for n in range(len(m[0]), 0, -1):
+            if not word_before and any(p.match(text, m.start()) for p in _SLOTS_BY_SIGN.get(m[0][:n], ())):
+                return True
+    return False
 
 
 def vocabulary() -> list[str]:
-    return sorted({t for texts in EXEMPLARS.values() for x in texts for t in tokens(x)})
+    """Terms whose frequency in the corpus is counted: those of the exemplars, and common words."""
+    return sorted({t for texts in EXEMPLARS.values() for x in texts for t in tokens(x)} | {t for t in STOP_WORDS if t.isalpha()})
 
 
 class ExemplarIndex:
     """Exemplars by their rarest terms."""
 
-    def __init__(self, frequency: dict[str, int], rows: int, closed: float = 0.8, opened: float = 0.9, filler: float = 0.75) -> None:
+    def __init__(self, frequency: dict[str, int], rows: int, closed: float = 0.8, opened: float = 0.9, filler: float = 0.75, pooled: float = 0.75) -> None:
         self.top = math.log(rows + 2)
         self.idf = {t: math.log((rows + 2) / (frequency.get(t, 0) + 1)) + 0.1 for t in vocabulary()}
         self.bars = {**dict.fromkeys(CLOSED, closed), **dict.fromkeys(OPEN, opened)}
-        self.filler_bar = filler
-        #: Label, terms in order, terms with their weights, weight in all, key terms.
-        self.exemplars: list[tuple[str, list[str], dict[str, tuple[int, float]], float, int]] = []
+        self.filler_bar, self.pooled_bar = filler, pooled
+        #: Label, terms in order, terms with their weights, weight in all.
+        self.exemplars: list[tuple[str, list[str], dict[str, tuple[int, float]], float]] = []
         self.postings: dict[str, list[int]] = {}
-        self.open_postings: dict[str, list[int]] = {}
         for kind in (*CLOSED, *OPEN):
             for text in EXEMPLARS[kind]:
                 t = tokens(text)
                 have = {x: (n, self.idf[x]) for x, n in Counter(t).items()}
                 rare = sorted(have.keys() - {"0"}, key=lambda x: (-self.idf[x], x))[:3]
-                self.exemplars.append((kind, t, have, sum(n * w for n, w in have.values()), min(2, len(rare))))
+                self.exemplars.append((kind, t, have, sum(n * w for n, w in have.values())))
                 for term in rare:
                     self.postings.setdefault(term, []).append(len(self.exemplars) - 1)
-                    if kind in OPEN:
-                        self.open_postings.setdefault(term, []).append(len(self.exemplars) - 1)
-        self.keys, self.open_keys = set(self.postings), set(self.open_postings)
-        #: No closed exemplar covers most of a window that is longer.
-        self.short = int(max(len(t) for k, t, *_ in self.exemplars if k in CLOSED) / closed) + 1
+        self.keys = set(self.postings)
+        #: All terms of the closed exemplars, by their beginnings as words are inflected; and by label those that hardly any row of the corpus has.
+        pools = {k: {t for x in EXEMPLARS[k] for t in tokens(x)} for k in CLOSED}
+        self.pool = {t[:STEM] for pool in pools.values() for t in pool}
+        rare = math.log((rows + 2) / (0.02 * rows + 1))
+        self.marks = {k: {t[:STEM] for t in pool if len(t) > 4 and self.idf[t] >= rare} for k, pool in pools.items()}
+        self.every_mark = set().union(*self.marks.values())
         self.latin = {t for x in EXEMPLARS["filler"] for t in tokens(x)}
         #: Latin words that no language of the corpus shares show that a passage may be filler.
         self.latin_keys = {t for t in self.latin if len(t) > 4}
@@ -145,40 +172,46 @@ class ExemplarIndex:
         return self.idf.get(term, self.top)
 
     def kind(self, window: list[str]) -> str | None:
-        """The label of the exemplar that covers the window, or None.
-
-        A short window is compared with every exemplar that shares one of its rarest terms; a
-        long one only with those with an open part, and if it has two of them.
-        """
-        long = len(window) > self.short
-        if (self.open_keys if long else self.keys).isdisjoint(window):
+        """The label of the exemplar that covers the window, or None. A window is compared with every exemplar that shares one of its rarest terms and is heavy enough to cover it."""
+        if self.keys.isdisjoint(window):
             return None
         window = ["0" if t[0].isdigit() else t for t in window]
         counts = Counter(window)
-        postings = self.open_postings if long else self.postings
-        hits: dict[int, int] = {}
-        for t in counts.keys() & postings.keys():
-            for e in postings[t]:
-                hits[e] = hits.get(e, 0) + 1
-        total = 0.0
+        hits = {e for t in counts.keys() & self.keys for e in self.postings[t]}
+        get, top = self.idf.get, self.top
+        total = sum([get(t, top) for t in window])
         best, label = 0.0, None
-        for e, n in hits.items():
-            kind, terms, have, whole, enough = self.exemplars[e]
-            if long and n < enough:
+        for e in hits:
+            kind, terms, have, whole = self.exemplars[e]
+            bar = self.bars[kind]
+            # No more than its own weight can be shared; an open exemplar's is shared nearly whole.
+            if (kind in CLOSED and whole < bar * total) or (kind not in CLOSED and bar * whole > total):
                 continue
             shared = sum(w * min(k, counts[t]) for t, (k, w) in have.items() if t in counts)
             if kind in CLOSED:
                 # Both ways: a window that the exemplar covers, and not a mere fragment of it.
                 if shared < 0.35 * whole:
                     continue
-                total = total or sum(map(self.weight, window))
                 score = shared / total
             else:
                 score = shared / whole
-            if score >= self.bars[kind] and score > best and (kind in CLOSED or _in_order(terms, window)):
+            if score >= bar and score > best and (kind in CLOSED or _in_order(terms, window)):
                 best, label = score, kind
         return label
 
+    def pooled(self, window: list[str]) -> str | None:
+        """The label of most marks in the window, if it has two of them and the closed exemplars together cover it."""
+        if len(window) < 4:
+            return None
+        stems = [t[:STEM] for t in window]
+        if len(self.every_mark.intersection(stems)) < 2:
+            return None
+        # Words whose rows aren't counted are rare or not: they weigh half of what the rarest do.
+        weights = [0.0 if t[0].isdigit() else self.idf.get(t, self.top / 2) for t in window]
+        if sum(w for w, stem in zip(weights, stems, strict=True) if stem in self.pool) < self.pooled_bar * sum(weights):
+            return None
+        return max(CLOSED, key=lambda k: len(self.marks[k].intersection(stems)))
+
     def quoted(self, window: list[str], own: set[str]) -> str | None:
         """The label of an exemplar that stands whole in the window, next to the page's own words, beginnings of them and at most one other."""
         window = ["0" if t[0].isdigit() else t for t in window]
@@ -190,8 +223,8 @@ class ExemplarIndex:
                     continue
                 seen.add(e)
                 n = len(terms)
-                for at in range(len(window) - n + 1):
-                    if window[at] == terms[0] and window[at : at + n] == terms:
+                for at in (k for k, t in enumerate(window) if t == terms[0]):
+                    if window[at : at + n] == terms:
                         others = [t for t in window[:at] + window[at + n :] if t != "0" and t not in own and not any(o.startswith(t) for o in own)]
                         if len(others) <= 1:
                             return kind
@@ -202,7 +235,7 @@ class ExemplarIndex:
         windows = [w for w in (words(s) for s in _SENTENCE.split(line)) if w]
         if len(windows) < 2:
             return []
-        kinds = [(None if self.keys.isdisjoint(w) else self.kind(w), len(w)) for w in windows]
+        kinds = [(self.kind(w), len(w)) for w in windows]
         return kinds if any(k for k, _ in kinds) else []
 
     def is_filler(self, window: list[str]) -> bool:
@@ -219,8 +252,9 @@ class ExemplarIndex:
         """
         own: set[str] | None = None
         lines: dict[int, tuple[str, list[str]]] = {}
-        hit, residue, report = False, 0, 0
+        hit, residue, report, likely = False, 0, 0, 0
         keys, latin = self.keys, self.latin_keys
+        marks = self.every_mark
         for number, line in enumerate(text.split("\n"), 1):
             window = words(line)
             if not window:
@@ -230,7 +264,7 @@ class ExemplarIndex:
             kind, rest = None, len(window)
             if not keys.isdisjoint(window):
                 kind = self.kind(window)
-                if kind is None and len(window) <= 3 * self.short:
+                if kind is None:
                     own = own or {*words(title or ""), *words(address or ""), *words(source or "")}
                     kind = self.quoted(window, own)
                 if kind is None and (parts := self.sentences(line)):
@@ -248,9 +282,13 @@ class ExemplarIndex:
             if has_slot(line):
                 hit = True
             lines[number] = (line, window)
-            if rest >= 8 and not _ADDRESS.match(line):
+            if rest == len(window) and not marks.isdisjoint([t[:STEM] for t in window]) and any(self.pooled(words(x)) for x in _SENTENCE.split(line)):
+                # Furniture speaks of scripts too: such a line counts for the page, but stays one of its lines.
+                likely += rest
+            elif rest >= 8 and not _ADDRESS.match(line):
                 report += rest
-        return hit or (residue > 0 and residue >= report), lines
+        case = hit or (residue + likely > 0 and residue + likely >= report)
+        return case, lines
 
 
 def _in_order(terms: list[str], window: list[str]) -> bool:
@@ -267,19 +305,21 @@ def _in_order(terms: list[str], window: list[str]) -> bool:
 
 def exemplar_index(articles: DataFrame) -> ExemplarIndex:
     """The index, with the document frequencies of its terms over all rows; at most one row per term comes to the driver."""
-    # Runs of digits are one term, which nearly every row has; it is counted as if all had it.
-    terms = [t for t in vocabulary() if t != "0"]
-    words = F.split(F.lower("content"), r"[^\p{L}]+")
-    counted = (
-        articles.filter("content IS NOT NULL")
-        .select(F.explode(F.array_append(F.array_intersect(words, F.array(*map(F.lit, terms))), F.lit("\n"))).alias("t"))
-        .groupBy("t")
-        .agg(F.count("*").alias("n"))
-        .collect()
-    )
-    found = {r["t"]: r["n"] for r in counted}
-    rows = found.pop("\n", 0)
-    return ExemplarIndex({**found, "0": rows}, rows)
+    terms = frozenset(vocabulary())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            # Runs of digits are one term, which nearly every row has; it is counted as if all had it.
+            counts.update({"0": len(texts)})
+            for text in texts:
+                counts.update(terms.intersection(_LETTERS.findall(text.casefold())))
+        yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["t", "n"])
+
+    texts = articles.select(F.col("content").cast("string").alias("content")).filter("content IS NOT NULL")
+    found = {r["t"]: r["n"] for r in texts.mapInArrow(run, "t string, n bigint").groupBy("t").agg(F.sum("n").alias("n")).collect()}
+    return ExemplarIndex(found, found.get("0", 0))
 
 
 def residue_pages(articles: DataFrame) -> DataFrame:

@@ -70,6 +70,36 @@ def test_every_exemplar_finds_itself():
             assert index.is_filler(w) if kind == "filler" else index.kind(w) is not None, t
 
 
+# Wordings that no exemplar has: the first set was used to choose the bar of the pool, the second wasn't.
+VALIDATION = [
+    "Leider konnten wir die gewünschte Seite nicht finden.", "Dieser Inhalt existiert nicht mehr.", "Bitte aktivieren Sie Cookies und JavaScript in den Einstellungen Ihres Browsers.", "Ein interner Fehler ist aufgetreten.",
+    "La page que vous avez demandée n'existe pas.", "Une erreur interne est survenue, veuillez réessayer plus tard.", "Activez JavaScript dans votre navigateur pour afficher ce contenu.", "La pagina richiesta non è stata trovata sul server.",
+    "Si è verificato un errore interno, riprovate più tardi.", "Per visualizzare il sito attivate JavaScript.", "Sorry, the page you were looking for could not be found.", "The page has been moved or removed.", "Please turn on JavaScript in your browser settings.", "Your session has expired, please log in again.",
+]
+
+HELD_OUT = [
+    "Die aufgerufene Seite wurde nicht gefunden.", "Diese Seite ist zurzeit nicht erreichbar, versuchen Sie es später.", "Aktivieren Sie bitte JavaScript, damit die Seite angezeigt werden kann.", "Hoppla, hier ist etwas schiefgegangen.",
+    "Page introuvable : l'adresse demandée n'existe plus.", "Vous n'avez pas la permission de voir cette page.", "Veuillez activer les scripts dans votre navigateur.", "La risorsa richiesta non esiste.",
+    "Accesso negato: non avete i diritti necessari.", "Abilitate JavaScript per usare questa applicazione.", "This page is currently unavailable.", "You must enable JavaScript to see this content.", "The service is down, please try again later.", "Access to this resource was denied.",
+]
+
+
+def test_wordings_held_out():
+    index = ExemplarIndex({t: 50_000 for t in residue.STOP_WORDS}, 100_000)
+    for texts in (VALIDATION, HELD_OUT):
+        found = [t for t in texts if index.page(t)[0]]
+        assert len(found) >= 0.7 * len(texts), set(texts) - set(found)
+    report = "\n".join(REPORT).format("X AG", 3)
+    assert not any(index.page(f"{report}\n{t}")[0] for t in VALIDATION + HELD_OUT)
+
+
+def test_long_slots_and_windows():
+    index = ExemplarIndex({}, 1000)
+    assert has_slot("Betrag: {{ " + "x" * 300 + " }}") and has_slot("[[" + "y" * 90 + "]]")
+    long = "Traceback (most recent call last): " + "KeyError in module " * 200
+    assert index.page(long)[0] and not index.page("Das Gericht prüft die Bücher der Firma heute noch einmal genau. " * 500)[0]
+
+
 TEXT = {
     "de": ["Das Gericht prüft nun, ob genügend Mittel für die Gläubiger vorhanden sind.", "Die Kundschaft wurde am Montag über den Entscheid informiert und bleibt ruhig."],
     "fr": ["Le tribunal examine désormais si les moyens suffisent pour les créanciers.", "La clientèle a été informée lundi de la décision et garde son calme."],
