@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
 import uuid
@@ -30,26 +31,46 @@ def local_session(cores: int = 4, app: str = "presswerk", **conf: str) -> SparkS
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a session in one process gets a local one; on a cluster there is none to guess."""
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="presswerk-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
 
 
+#: Folders written in this application and not yet cleared.
+_written: dict[str, list[str]] = {}
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/presswerk/{name}-{uuid.uuid4().hex}"
+    """A new folder in the shared one. It goes when the driver ends, or with clear()."""
+    path = f"{shared_dir(spark)}/presswerk/{name}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete the tables written so far; to be called once the results that read them are written. The number of folders deleted."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(paths)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write the rows once as a table in the shared folder and read them from there.
 
-    A written table survives the loss of any executor, and unlike checkpoint() it is
-    compressed and computes its input once.
+    This runs a job when it is called. A written table survives the loss of any executor, and
+    unlike checkpoint() it is compressed and computes its input once.
     """
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)

@@ -3,6 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import pandas as pd
+import pytest
 
 from presswerk.functions.similarity import simhash_of
 from presswerk.operators import duplicates
@@ -126,3 +127,12 @@ def test_duplicates_across_runs_and_languages(spark):
     assert {r["url_hash"]: r["canonical_url_hash"] for r in both.filter("is_duplicate").collect()} == {"it": "de"}
     alone = P.deduplicate(german.filter("url_hash IN ('de', 'en')"), F.timestamp_seconds(F.lit(1_760_000_000 + 60 * 3600)))
     assert alone.filter("is_duplicate").count() == 0
+
+
+def test_tables_in_the_shared_folder_are_cleared(spark):
+    from presswerk.session import clear, materialize, shared_dir
+
+    df = materialize(spark.range(3).toDF("id"), "x")
+    assert df.count() == 3 and shared_dir(spark) and clear(spark) >= 1
+    with pytest.raises(Exception, match="NOT_EXIST|does not exist|FAILED_READ"):
+        materialize(spark.range(2).toDF("id"), "y").count() + df.count()
