@@ -37,5 +37,21 @@ def within_hours(ts: Column, as_of: Column, hours: int) -> Column:
     return ts.isNull() | (ts >= as_of - F.make_interval(hours=F.lit(hours)))
 
 
+def time_of_day(ts: Column) -> Column:
+    """The instant, or null at midnight: feeds that give a day only."""
+    return F.when((F.hour(ts) != 0) | (F.minute(ts) != 0), ts)
+
+
+def earliest_label(ts: Column, as_of: Column) -> Column:
+    """Heute, 08:31; Gestern, 18:12; else the dotted date and time; empty for none."""
+    clock = F.date_format(ts, "HH:mm")
+    return F.when(ts.isNull(), "").otherwise(F.concat(relative_day(F.to_date(ts), F.to_date(as_of)), F.lit(", "), clock))
+
+
+def day_range(start: Column, end: Column) -> Column:
+    """All days from start to end, both included."""
+    return F.when(start <= end, F.sequence(F.to_date(start), F.to_date(end))).otherwise(F.array().cast("array<date>"))
+
+
 def same_day(a: Column, b: Column) -> Column:
     return F.to_date(a) == F.to_date(b)

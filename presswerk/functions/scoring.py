@@ -14,30 +14,38 @@ def provider(model: Column, prefixes: dict[str, str], otherwise: str) -> Column:
     return out.otherwise(otherwise)
 
 
+# Prefixes of models' names by provider.
 PROVIDERS_3 = {"deepseek:": "DeepSeek", "gemini:": "Gemini"}
-PROVIDERS_4 = {"deepseek:": "DeepSeek", "gemini:": "Gemini", "ox": "OpenAI"}
+PROVIDERS_4 = {"deepseek:": "DeepSeek", "gemini:": "Gemini", "gpt": "OpenAI", "o1": "OpenAI"}
 
 
 def error_class(message: Column) -> Column:
+    """The kind of a failure by its message; a message of no known kind stands for itself, cut at 50 characters."""
     m = F.lower(message)
-    has = lambda *ws: F.greatest(*[m.contains(w) for w in (ws if len(ws) > 1 else ws * 2)])
     return (
-        F.when(message.isNull(), "unknown").when(has("timeout", "timed out"), "timeout").when(has("403", "forbidden"), "blocked").when(has("404", "not found"), "not_found")
-        .when(has("ssl", "certificate"), "ssl").when(has("too short", "none"), "no_content").otherwise("other")
+        F.when(message.isNull() | (message == ""), "Unknown").when(m.contains("timeout"), "Timeout").when(m.contains("403") | m.contains("forbidden"), "Blocked (403)")
+        .when(m.contains("404") | m.contains("not found"), "Not Found (404)").when(m.contains("connection"), "Connection Error").when(m.contains("both methods"), "Content Extraction Failed").otherwise(F.substring(message, 1, 50))
     )
 
 
 def impact(value: Column) -> Column:
-    """Impact class; the older elevated_risk means negative, anything unknown neutral."""
-    return F.when(value == "elevated_risk", "negative").when(value.isin("positive", "negative", "neutral"), value).otherwise("neutral")
+    """Impact class; elevated means negative and standard neutral in older rows, anything unknown is neutral."""
+    return F.when(value.isin("elevated", "elevated_risk"), "negative").when(value.isin("positive", "negative", "neutral"), value).otherwise("neutral")
 
 
 def impact_rank(value: Column) -> Column:
-    return F.when(impact(value) == "negative", 0).when(impact(value) == "positive", 1).otherwise(2)
+    """Negative before neutral before positive; a missing class is neutral, an unknown one comes last."""
+    known = F.when(value.isNull() | (value == "standard"), "neutral").when(value.isin("elevated", "elevated_risk"), "negative").otherwise(value)
+    return F.when(known == "negative", 0).when(known == "neutral", 1).otherwise(2)
+
+
+def fallback_impact(topic: Column, confidence: Column, negative: list[str], least: float = 0.85) -> Column:
+    """The class of a row that has none: negative for a sure row of one of these topics."""
+    return F.when(topic.isin(*negative) & (F.coalesce(confidence, F.lit(0.0)) >= least), "negative").otherwise("neutral")
 
 
 def quality(length: Column, has_author: Column, has_date: Column) -> Column:
-    """0 to 1: a curve over the length, and three tenths each for author and date."""
+    """0 to 1: a curve over the length, and three tenths each for author and date. The curve's constants are fixed values."""
     n = length.cast("double")
     curve = F.when(n < 500, n / 500 * 0.4).when(n < 1500, 0.2 + (n - 500) / 1000 * 0.2).when(n <= 5000, 0.4).otherwise(F.greatest(F.lit(0.2), 0.4 - (n - 5000) / 20000 * 0.2))
     return F.least(F.lit(1.0), curve + F.when(has_author, 0.3).otherwise(0.0) + F.when(has_date, 0.3).otherwise(0.0))

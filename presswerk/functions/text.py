@@ -73,7 +73,7 @@ def keywords(text: Column) -> Column:
 
 
 def entity_tokens(title: Column) -> Column:
-    """Distinct capitalised words, acronyms and numbers, in lower case. A stemmer can be mapped over them."""
+    """Distinct capitalised words, acronyms and numbers, in lower case; which characters count is a fixed value. A stemmer can be mapped over them."""
     found = F.regexp_extract_all(title, F.lit(r"([A-ZÄÖÜ][a-zäöüéèêàâîôûç]+|[A-ZÄÖÜ]{2,}|\d+[.,]?\d*)"), F.lit(1))
     return _set(F.transform(F.filter(found, lambda t: F.length(t) >= 2), F.lower), STOP_WORDS)
 
@@ -112,6 +112,7 @@ def without(items: Column, word: str) -> Column:
 
 
 def title_cut(title: Column, most: int = 60) -> Column:
-    """Cut at a word's end."""
+    """Cut at a word's end, if that leaves more than half."""
     head = F.substring(title, 1, most)
-    return F.when(F.length(title) <= most, title).otherwise(F.concat(F.regexp_replace(head, r"\s+\S*$", ""), F.lit("...")))
+    words = F.regexp_replace(head, r" [^ ]*$", "")
+    return F.when(F.length(title) <= most, title).otherwise(F.concat(F.when(F.length(words) > most // 2, words).otherwise(head), F.lit("...")))

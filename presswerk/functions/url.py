@@ -100,3 +100,9 @@ def largest_source(srcset: Column) -> Column:
 def pixels(text: Column) -> Column:
     """600 or 600px as a number, else null."""
     return F.trim(F.regexp_replace(text, "px", "")).try_cast("int")
+
+
+def from_template(template: str, value: Column) -> Column:
+    """A template's {} filled with a value."""
+    before, _, after = template.partition("{}")
+    return F.concat(F.lit(before), value.cast("string"), F.lit(after))

@@ -151,6 +151,15 @@ def first_signal() -> Column:
     return F.coalesce(*[F.when(F.col(s).isNotNull(), s) for s in SIGNALS])
 
 
+def judge_text(title: str, source: str, ts: str, content: str, most: int = 300) -> Column:
+    """What a judge is told of a row: title, source, day, and the beginning of its content."""
+    preview = F.regexp_replace(F.substring(content, 1, most), r"^\s+|\s+$", "")
+    return F.concat(
+        F.lit("Title: "), F.coalesce(title, F.lit("")), F.lit("\nSource: "), F.coalesce(source, F.lit("")), F.lit("\nDate: "), F.date_format(ts, "yyyy-MM-dd"),
+        F.when(F.col(content) != "", F.concat(F.lit("\n- Content preview: "), preview)).otherwise(""),
+    )
+
+
 def offline_judge(pairs: DataFrame) -> DataFrame:
     """(a, b, confidence): a deterministic stand-in for a model, the mean of the strongest signals that fire, more for each further one.
 
@@ -167,7 +176,8 @@ def _groups(pairs: DataFrame, articles: DataFrame, least: float) -> DataFrame:
     side = lambda c: names.select(F.col("id").alias(c), F.col("h").alias(f"h{c}"))
     edges = materialize(judged.join(side("a"), "a").join(side("b"), "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"), "confidence"), "edges")
     groups = materialize(connected(edges), "groups")
-    mean = edges.join(groups.select(F.col("node").alias("a"), "group"), "a").groupBy("group").agg(F.round(F.avg("confidence"), 6).alias("confidence"))
+    # Added up as decimals, so that the order of rows doesn't matter.
+    mean = edges.join(groups.select(F.col("node").alias("a"), "group"), "a").groupBy("group").agg(F.round(F.sum(F.col("confidence").cast("decimal(18,6)")).cast("double") / F.count("*"), 6).alias("confidence"))
     return elect(groups, articles).join(mean, "group").select(F.col("node").alias("url_hash"), "canonical", "size", "confidence")
 
 
@@ -196,6 +206,12 @@ def mark_duplicates(articles: DataFrame, found: DataFrame, new: DataFrame | None
     return joined.withColumns({"is_duplicate": F.when(hit, True).otherwise(F.col("is_duplicate")), "canonical_url_hash": F.when(hit, F.col("_canonical")).otherwise(F.col("canonical_url_hash"))}).select(articles.columns)
 
 
+def surviving(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows that are no duplicates, neither as they are marked nor by url_hash among the found."""
+    open_rows = rows.filter(~F.coalesce("is_duplicate", F.lit(False)))
+    return open_rows.join(found.select("url_hash").distinct(), "url_hash", "left_anti")
+
+
 def cross_language_pairs(foreign: DataFrame, canonical: DataFrame, key: str = "url_hash", companies: str = "companies") -> DataFrame:
     """(foreign, canonical, shared): rows that name common companies, by an equi-join on the names; only the foreign one may become the duplicate."""
     side = lambda d, n: d.select(F.col(key).alias(n), F.explode(F.array_distinct(companies)).alias("_c"))

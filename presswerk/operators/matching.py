@@ -56,14 +56,18 @@ def set_members(df: DataFrame, key: str, tokens: str) -> DataFrame:
 def hamming_pairs(df: DataFrame, key: str, fingerprint: str, most: int = 3) -> tuple[DataFrame, DataFrame]:
     """(pairs, members) of 64-bit fingerprints at most so many bits apart.
 
-    The bits are cut into most + 1 bands; two fingerprints within the distance agree in a band.
-    Equal fingerprints are one class. Null fingerprints match nothing.
+    The bits are cut into most + 2 blocks, of which two fingerprints within the distance agree in
+    two; so each stands in a table for every pair of blocks (for three bits ten tables of 25 bits
+    and more, which tens of millions of fingerprints still share little), and a pair that meets in
+    several counts once. Equal fingerprints are one class. Null fingerprints match nothing.
     """
     rows = df.select(F.col(key).alias("k"), F.col(fingerprint).alias("fp")).filter("fp IS NOT NULL")
     classes = materialize(rows.groupBy("fp").agg(F.min("k").alias("rep")), "fingerprints")
     members = rows.join(classes, "fp").select(F.col("k").alias(key), "rep")
-    width = 64 // (most + 1)
-    bands = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit((1 << (width if i < most else 64 - most * width)) - 1)).alias("v")) for i in range(most + 1)])
+    n = most + 2
+    edges = [64 * k // n for k in range(n + 1)]
+    part = [F.shiftrightunsigned("fp", edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1)) for k in range(n)]
+    bands = F.array(*[F.struct(F.lit(i * n + j).alias("i"), F.shiftleft(part[i], edges[j + 1] - edges[j]).bitwiseOR(part[j]).alias("v")) for i in range(n) for j in range(i + 1, n)])
     banded = classes.select("rep", "fp", F.explode(bands).alias("band"))
     l, r = banded.alias("l"), banded.alias("r")  # noqa: E741
     met = l.join(r, F.col("l.band") == F.col("r.band")).filter(F.col("l.rep") < F.col("r.rep"))

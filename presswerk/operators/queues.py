@@ -21,16 +21,48 @@ def ready(df: DataFrame, stage: str) -> DataFrame:
     return df.filter((F.col("pipeline_stage") == stage) & (F.col("processing_status") == "completed"))
 
 
+def told_at(df: DataFrame) -> Column:
+    """When a row was published, or collected where that isn't known or is still text."""
+    kinds = dict(df.dtypes)
+    return F.coalesce("published_at", "collected_at") if kinds.get("published_at") == "timestamp" else F.col("collected_at")
+
+
+def by_priority(df: DataFrame) -> list[Column]:
+    return [F.asc_nulls_first("feed_priority"), told_at(df).desc_nulls_last(), F.asc("id")]
+
+
+def by_time(df: DataFrame) -> list[Column]:
+    return [told_at(df).desc_nulls_last(), F.asc_nulls_first("feed_priority"), F.asc("id")]
+
+
+def by_confidence(df: DataFrame) -> list[Column]:
+    return [F.asc_nulls_first("feed_priority"), F.desc_nulls_last("confidence"), told_at(df).desc_nulls_last(), F.asc("id")]
+
+
 def scrape_queue(df: DataFrame, limit: int | None = None) -> DataFrame:
-    return _limit(ready(df, "filtered").filter("is_match").orderBy(F.asc_nulls_first("feed_priority"), F.desc_nulls_last("collected_at"), "id"), limit)
+    return _limit(ready(df, "filtered").filter("is_match").orderBy(*by_priority(df)), limit)
 
 
 def summarize_queue(df: DataFrame, limit: int | None = None) -> DataFrame:
-    return _limit(ready(df, "scraped").filter(not_duplicate()).orderBy(F.asc_nulls_first("feed_priority"), F.desc_nulls_last("collected_at"), "id"), limit)
+    return _limit(ready(df, "scraped").filter(not_duplicate()).orderBy(*by_priority(df)), limit)
 
 
 def dedup_queue(df: DataFrame, limit: int | None = None) -> DataFrame:
-    return _limit(ready(df, "scraped").filter(not_duplicate()).orderBy(F.desc_nulls_last("collected_at"), F.asc_nulls_first("feed_priority"), "id"), limit)
+    return _limit(ready(df, "scraped").filter(not_duplicate()).orderBy(*by_time(df)), limit)
+
+
+def at_stage(df: DataFrame, stage: str, limit: int | None = None) -> DataFrame:
+    """All rows of a stage, whatever their status."""
+    return _limit(df.filter(F.col("pipeline_stage") == stage).orderBy("id") if limit is not None else df.filter(F.col("pipeline_stage") == stage), limit)
+
+
+def having(df: DataFrame, equal: dict[str, object], unequal: dict[str, object] | None = None) -> DataFrame:
+    """Rows whose columns have these values, and not those; null is neither. A source that can filter gets the whole predicate."""
+    for c, v in equal.items():
+        df = df.filter(F.col(c) == v)
+    for c, v in (unequal or {}).items():
+        df = df.filter(F.col(c) != v)
+    return df
 
 
 def pending_queue(df: DataFrame, stage: str, attempts: int = 3) -> DataFrame:
@@ -45,7 +77,7 @@ def recent(df: DataFrame, as_of: Column, hours: int = 48, stages: tuple[str, ...
 def digest_candidates(df: DataFrame, as_of: Column, days: int = 7, least_chars: int = 400) -> DataFrame:
     fresh = (F.col("collected_at") >= as_of - F.make_interval(days=F.lit(days))) & (F.col("collected_at") <= as_of)
     rows = ready(df, "summarized").filter(~F.coalesce("included_in_digest", F.lit(False)) & fresh & (F.coalesce("content_length", F.lit(0)) >= least_chars))
-    return rows.orderBy(F.asc_nulls_first("feed_priority"), F.desc_nulls_last("confidence"), F.desc_nulls_last("collected_at"), "id")
+    return rows.orderBy(*by_confidence(df))
 
 
 def young_enough(df: DataFrame, ts: str, as_of: Column, hours: str | int) -> DataFrame:

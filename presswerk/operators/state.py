@@ -59,13 +59,35 @@ def mark(df: DataFrame, keys: DataFrame, key: str, values: dict[str, Column]) ->
     return joined.withColumns({c: F.when(F.col("_hit"), v).otherwise(F.col(c)) for c, v in values.items()}).drop("_hit").select(df.columns)
 
 
-def reset(df: DataFrame, where: Column, columns: list[str], stage: str) -> DataFrame:
-    """The chosen rows go back to a stage: what later stages wrote becomes null."""
+def reset(df: DataFrame, where: Column, columns: list[str], stage: str, status: str | None = "completed", values: dict[str, Column] | None = None) -> DataFrame:
+    """The chosen rows go back to a stage: what later stages wrote becomes null, or the value given for it. Null chooses no row; columns that df lacks are passed over; status None leaves it."""
     types = {f.name: f.dataType for f in df.schema}
-    return df.withColumns({
-        **{c: F.when(where, F.lit(None).cast(types[c])).otherwise(F.col(c)) for c in columns}, "pipeline_stage": F.when(where, stage).otherwise(F.col("pipeline_stage")),
-        "processing_status": F.when(where, "completed").otherwise(F.col("processing_status")),
-    })
+    hit = F.coalesce(where, F.lit(False))
+    new = {**{c: F.lit(None).cast(types[c]) for c in columns if c in types}, **{c: v for c, v in (values or {}).items() if c in types}, "pipeline_stage": F.lit(stage)}
+    if status is not None:
+        new["processing_status"] = F.lit(status)
+    # All at once, so that every condition sees the row as it was.
+    return df.select(*[F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in df.columns])
+
+
+def purge(cache: DataFrame, as_of: Column) -> DataFrame:
+    """The entries that haven't expired."""
+    return cache.filter(F.col("expires_at").isNull() | (F.col("expires_at") > as_of))
+
+
+def merge_counters(stored: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:
+    """Stored counters with those of a batch added; keys that are new come in."""
+    numbers = [c for c in stored.columns if c not in keys]
+    both = stored.unionByName(more.select(stored.columns))
+    return both.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in numbers]).select(stored.columns)
+
+
+def insert_or_ignore(stored: DataFrame, new: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(stored and what is new, what is new): of the rows whose keys stored lacks the least of each. Rows of a null key are kept out."""
+    row = F.struct(*[c for c in new.columns if c not in keys])
+    first = new.dropna(subset=keys).groupBy(*keys).agg(F.min(row).alias("_r")).select(*keys, "_r.*")
+    fresh = first.join(stored.select(*keys), keys, "left_anti")
+    return stored.unionByName(fresh, allowMissingColumns=True), fresh
 
 
 def delete_cascade(parent: DataFrame, where: Column, children: dict[str, tuple[DataFrame, str, str]]) -> tuple[DataFrame, dict[str, DataFrame]]:

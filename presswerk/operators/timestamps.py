@@ -176,7 +176,9 @@ def normalize_timestamps(df: DataFrame, raw: str, tz: str, locale: str, dictiona
                 raise
             known = None
         extend_dictionary(distinct, known).select(*_KEYS, "instant").write.mode("append").parquet(dictionary)
-        entries = materialize(distinct.join(spark.read.schema(schema).parquet(dictionary), _KEYS), "instants")
+        # Batches that extend it at one time may write a value twice, with the same instant.
+        stored = spark.read.schema(schema).parquet(dictionary).groupBy(_KEYS).agg(F.first("instant").alias("instant"))
+        entries = materialize(distinct.join(stored, _KEYS), "instants")
     counted = entries.select(*_KEYS, "_n", "instant")
     return join_counted(keyed, counted, _KEYS, "_n", "left").drop(*_KEYS)
 

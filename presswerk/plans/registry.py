@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from presswerk.plans import reports, selection, texts
+from presswerk.session import shared_path
 from presswerk.sources.tables import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,7 +16,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     from presswerk.operators.timestamps import published_instants
 
-    return published_instants(*tables(spark, folder, "articles", "feeds"))
+    # The dictionary that later batches would extend; here it starts empty.
+    return published_instants(*tables(spark, folder, "articles", "feeds"), shared_path(spark, "dictionary"))
 
 
 def queries() -> dict[str, Query]:

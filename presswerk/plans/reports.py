@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from presswerk.functions import scoring as S
+from presswerk.functions.text import title_cut
 from presswerk.operators.state import close_runs, counters, latest_row, next_version, ranked
 from presswerk.sources.tables import table, tables
 
@@ -109,7 +110,7 @@ def _by_provider(calls: DataFrame, prefixes: dict[str, str], rest: str, *more: s
 
 
 _P3 = "CASE WHEN model ILIKE 'deepseek:%' THEN 'DeepSeek' WHEN model ILIKE 'gemini:%' THEN 'Gemini' ELSE 'OpenAI' END"
-_P4 = "CASE WHEN model ILIKE 'deepseek:%' THEN 'DeepSeek' WHEN model ILIKE 'gemini:%' THEN 'Gemini' WHEN model ILIKE 'ox%' THEN 'OpenAI' ELSE 'Other' END"
+_P4 = "CASE WHEN model ILIKE 'deepseek:%' THEN 'DeepSeek' WHEN model ILIKE 'gemini:%' THEN 'Gemini' WHEN model ILIKE 'gpt%' OR model ILIKE 'o1%' OR model ILIKE 'ox%' THEN 'OpenAI' ELSE 'Other' END"
 
 
 @query(f"SELECT {_P3} AS provider, count(*) AS calls, coalesce(CAST(sum(total_tokens) AS BIGINT), 0) AS tokens, {_M} AS cost FROM {_CALLS} GROUP BY ALL")
@@ -119,7 +120,8 @@ def cost_by_provider3(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"SELECT run_id, {_P4} AS provider, count(*) AS calls, coalesce(CAST(sum(total_tokens) AS BIGINT), 0) AS tokens, {_M} AS cost FROM {_CALLS} GROUP BY ALL")
 def cost_by_provider4(spark: SparkSession, folder: str) -> DataFrame:
-    return _by_provider(distinct_calls(spark, folder), S.PROVIDERS_4, "Other", "run_id")
+    """With one more prefix, that of the test tables."""
+    return _by_provider(distinct_calls(spark, folder), S.PROVIDERS_4 | {"ox": "OpenAI"}, "Other", "run_id")
 
 
 @query(f"SELECT module, cost, round(cost / (sum(cost) OVER ()), 4) AS share FROM (SELECT module, {_M} AS cost FROM {_CALLS} GROUP BY module)")
@@ -160,7 +162,7 @@ def feed_stats(spark: SparkSession, folder: str) -> DataFrame:
     return joined.select("source", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "matched", "rejected")])
 
 
-@query("""SELECT CASE WHEN credit_impact = 'elevated_risk' THEN 'negative' WHEN credit_impact IN ('positive', 'negative', 'neutral') THEN credit_impact ELSE 'neutral' END AS impact,
+@query("""SELECT CASE WHEN credit_impact IN ('elevated', 'elevated_risk') THEN 'negative' WHEN credit_impact IN ('positive', 'negative', 'neutral') THEN credit_impact ELSE 'neutral' END AS impact,
           count(*) AS n FROM articles WHERE summary IS NOT NULL GROUP BY ALL""")
 def impact_histogram(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "articles").filter("summary IS NOT NULL").groupBy(S.impact(F.col("credit_impact")).alias("impact")).agg(F.count("*").alias("n"))
@@ -217,34 +219,86 @@ def cache_counters(spark: SparkSession, folder: str) -> DataFrame:
     return counters(table(spark, folder, "events"), F.to_date("ts").cast("string"), "event_type", F.col("value") >= 20)
 
 
-@query("""SELECT event_type AS kind, count(*) AS entries, count(DISTINCT user_id) AS users, round(avg(value), 4) AS avg_value, round(max(value), 4) AS top_value FROM events GROUP BY ALL""")
+@query("""SELECT CASE WHEN m IS NULL OR m = '' THEN 'Unknown' WHEN m LIKE '%timeout%' THEN 'Timeout' WHEN m LIKE '%403%' OR m LIKE '%forbidden%' THEN 'Blocked (403)' WHEN m LIKE '%404%' OR m LIKE '%not found%' THEN 'Not Found (404)'
+          WHEN m LIKE '%connection%' THEN 'Connection Error' WHEN m LIKE '%both methods%' THEN 'Content Extraction Failed' ELSE substr(error_message, 1, 50) END AS kind, count(*) AS n
+          FROM (SELECT error_message, lower(error_message) AS m FROM articles WHERE processing_status = 'failed') GROUP BY ALL""")
+def error_types(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "articles").filter("processing_status = 'failed'").groupBy(S.error_class(F.col("error_message")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+#: Events stand for cache requests; one of at least 20 is a hit.
+_CACHE = "(SELECT event_type AS kind, count(*) AS requests, count(*) FILTER (value >= 20) AS hits FROM events GROUP BY ALL)"
+
+
+@query(f"""SELECT 'hit rate of ' || kind AS rule, coalesce(hits / CAST(nullif(requests, 0) AS DOUBLE), 0) < 0.4 AS fires FROM {_CACHE}
+           UNION ALL SELECT 'summarizer above 60 %', coalesce((SELECT {_M} FROM {_CALLS} WHERE module = 'summarizer') / nullif((SELECT {_M} FROM {_CALLS}), 0) > 0.6, false)
+           UNION ALL SELECT 'daily cost above limit', coalesce((SELECT {_M} FROM {_CALLS}) / nullif((SELECT count(DISTINCT {_DAY}) FROM {_CALLS}), 0) > 0.05, false)""")
+def recommendations(spark: SparkSession, folder: str, limit: float = 0.05) -> DataFrame:
+    calls = distinct_calls(spark, folder)
+    kinds = counters(table(spark, folder, "events"), F.lit(""), "event_type", F.col("value") >= 20)
+    cache = kinds.select(F.concat(F.lit("hit rate of "), "kind").alias("rule"), (F.col("hit_rate") < 0.4).alias("fires"))
+    part = F.coalesce(F.sum(F.when(F.col("module") == "summarizer", F.col("cost")).cast(MONEY)).cast("double"), F.lit(0.0)) / F.nullif(money(), F.lit(0.0))
+    both = calls.agg(F.coalesce(part > 0.6, F.lit(False)).alias("part"), F.coalesce(money() / F.nullif(F.count_distinct(F.to_date("created_at")), F.lit(0)) > limit, F.lit(False)).alias("daily"))
+    rules = both.select(F.explode(F.array(F.struct(F.lit("summarizer above 60 %").alias("rule"), F.col("part").alias("fires")), F.struct(F.lit("daily cost above limit").alias("rule"), F.col("daily").alias("fires")))).alias("r")).select("r.*")
+    return cache.unionByName(rules)
+
+
+@query(f"""SELECT kind, requests, hits, requests - hits AS misses, round(100.0 * hits / requests, 1) AS hit_percent FROM {_CACHE}""")
+def cache_totals(spark: SparkSession, folder: str) -> DataFrame:
+    totals = counters(table(spark, folder, "events"), F.lit(""), "event_type", F.col("value") >= 20)
+    return totals.select("kind", "requests", "hits", "misses", F.round(100.0 * F.col("hits") / F.col("requests"), 1).alias("hit_percent"))
+
+
+@query("""SELECT event_type AS kind, count(*) AS entries, CAST(sum(n) AS BIGINT) AS hits, round(avg(n), 6) AS avg_hits, CAST(sum(recent) AS BIGINT) AS recent_hits FROM (
+          SELECT event_type, user_id, count(*) AS n, count(*) FILTER (ts >= (SELECT max(ts) - INTERVAL 7 DAY FROM events)) AS recent FROM events GROUP BY ALL) GROUP BY ALL""")
 def cache_inventory(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events").groupBy(F.col("event_type").alias("kind")).agg(
-        F.count("*").alias("entries"), F.count_distinct("user_id").alias("users"), F.round(F.avg("value"), 4).alias("avg_value"), F.round(F.max("value"), 4).alias("top_value")
-    )
+    """Users stand for cache entries, their events for hits: entries, hits, hits an entry, and the hits of the last seven days."""
+    events = table(spark, folder, "events")
+    fresh = F.col("ts") >= latest(events, "ts") - F.make_interval(days=F.lit(7))
+    entries = events.groupBy("event_type", "user_id").agg(F.count("*").alias("n"), F.count_if(fresh).alias("recent"))
+    return entries.groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("entries"), F.sum("n").alias("hits"), F.round(F.avg("n"), 6).alias("avg_hits"), F.sum("recent").alias("recent_hits"))
 
 
-@query("""SELECT CASE WHEN m IS NULL THEN 'unknown' WHEN m LIKE '%timeout%' OR m LIKE '%timed out%' THEN 'timeout' WHEN m LIKE '%403%' OR m LIKE '%forbidden%' THEN 'blocked' WHEN m LIKE '%404%' OR m LIKE '%not found%' THEN 'not_found'
-          WHEN m LIKE '%ssl%' OR m LIKE '%certificate%' THEN 'ssl' WHEN m LIKE '%too short%' OR m LIKE '%none%' THEN 'no_content' ELSE 'other' END AS kind, count(*) AS n
-          FROM (SELECT lower(error_message) AS m FROM articles WHERE processing_status = 'failed') GROUP BY ALL""")
-def error_types(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "articles").filter("processing_status = 'failed'").groupBy(S.error_class(F.col("error_message")).alias("kind")).agg(F.count("*").alias("n"))
+@query("SELECT mode, arg_max(run_id, struct_pack(s := epoch_us(started_at), r := run_id)) AS run_id FROM pipeline_runs WHERE started_at IS NOT NULL GROUP BY mode")
+def latest_run(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "pipeline_runs").filter("started_at IS NOT NULL").groupBy("mode").agg(F.max_by("run_id", F.struct("started_at", "run_id")).alias("run_id"))
+
+
+@query("""SELECT CAST(digest_date AS VARCHAR) AS day, digest_version AS version, count(*) AS articles FROM articles WHERE digest_date IS NOT NULL GROUP BY ALL ORDER BY day DESC, version DESC NULLS LAST LIMIT 10""")
+def recent_digests(spark: SparkSession, folder: str) -> DataFrame:
+    counts = table(spark, folder, "articles").filter("digest_date IS NOT NULL").groupBy(F.col("digest_date").cast("string").alias("day"), F.col("digest_version").alias("version")).agg(F.count("*").alias("articles"))
+    return counts.orderBy(F.desc("day"), F.desc_nulls_last("version")).limit(10)
+
+
+_NOW = "(SELECT max(collected_at) FROM articles)"
 
 
-@query(f"""WITH m AS (SELECT module, {_M} AS cost FROM {_CALLS} GROUP BY module), t AS (SELECT sum(cost) AS all_cost FROM m)
-           SELECT 'summarizer above 60 %' AS rule, coalesce((SELECT sum(cost) FROM m WHERE module = 'summarizer') / nullif(all_cost, 0) > 0.6, false) AS fires FROM t
-           UNION ALL SELECT 'failed calls above 5 %', avg(CASE WHEN success THEN 0.0 ELSE 1.0 END) > 0.05 FROM {_CALLS}
-           UNION ALL SELECT 'failed runs above 10 %', avg(CASE WHEN status = 'failed' THEN 1.0 ELSE 0.0 END) > 0.1 FROM pipeline_runs""")
-def recommendations(spark: SparkSession, folder: str) -> DataFrame:
+@query(f"""SELECT count(*) FILTER (digest_date = CAST({_NOW} AT TIME ZONE 'UTC' AS DATE)) AS digest, count(*) FILTER (late) AS summarization, count(*) FILTER (late AND today) AS summarization_today, count(*) AS everything, count(*) FILTER (today) AS everything_today
+           FROM (SELECT digest_date, coalesce(pipeline_stage IN ('summarized', 'digested'), false) AS late, coalesce(CAST(collected_at AT TIME ZONE 'UTC' AS DATE) = CAST({_NOW} AT TIME ZONE 'UTC' AS DATE), false) AS today FROM articles)""")
+def reset_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """How many rows each kind of reset would change."""
+    a = table(spark, folder, "articles")
+    day = F.to_date(latest(a, "collected_at"))
+    late, today = F.col("pipeline_stage").isin("summarized", "digested"), F.to_date("collected_at") == day
+    counts = {"digest": F.col("digest_date") == day, "summarization": late, "summarization_today": late & today, "everything": F.lit(True), "everything_today": today}
+    return a.agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
+
+
+@query(f"""SELECT {_DAY} = (SELECT max({_DAY}) FROM {_CALLS}) AS today, {_M} AS cost, {_M} < 0.05 AS within FROM {_CALLS} WHERE created_at IS NOT NULL GROUP BY 1 HAVING today""")
+def daily_limit(spark: SparkSession, folder: str, limit: float = 0.05) -> DataFrame:
+    """Whether the last day's calls stay within a limit; a day without calls does."""
     calls = distinct_calls(spark, folder)
-    costs = calls.groupBy("module").agg(money().alias("cost"))
-    share = F.sum(F.when(F.col("module") == "summarizer", F.col("cost"))) / F.nullif(F.sum("cost"), F.lit(0.0))
-    rules = [
-        costs.agg(F.coalesce(share > 0.6, F.lit(False)).alias("fires")).select(F.lit("summarizer above 60 %").alias("rule"), "fires"),
-        calls.agg((F.avg(F.when(F.col("success"), 0.0).otherwise(1.0)) > 0.05).alias("fires")).select(F.lit("failed calls above 5 %").alias("rule"), "fires"),
-        table(spark, folder, "pipeline_runs").agg((F.avg(F.when(F.col("status") == "failed", 1.0).otherwise(0.0)) > 0.1).alias("fires")).select(F.lit("failed runs above 10 %").alias("rule"), "fires"),
-    ]
-    return rules[0].unionByName(rules[1]).unionByName(rules[2])
+    today = F.to_date("created_at") == F.to_date(latest(calls, "created_at"))
+    return calls.filter(today).agg(F.lit(True).alias("today"), money().alias("cost"), (money() < limit).alias("within"))
+
+
+@query(f"""SELECT r.run_id, c.module, c.calls, c.cost FROM pipeline_runs r JOIN (SELECT run_id, module, count(*) AS calls, {_M} AS cost FROM {_CALLS} GROUP BY ALL) c USING (run_id)
+           WHERE r.started_at >= (SELECT max(started_at) - INTERVAL 30 DAY FROM pipeline_runs)""")
+def run_module_costs(spark: SparkSession, folder: str) -> DataFrame:
+    runs = table(spark, folder, "pipeline_runs")
+    late = runs.filter(F.col("started_at") >= latest(runs, "started_at") - F.make_interval(days=F.lit(30))).select("run_id")
+    costs = distinct_calls(spark, folder).groupBy("run_id", "module").agg(F.count("*").alias("calls"), money().alias("cost"))
+    return late.join(costs, "run_id").select("run_id", "module", "calls", "cost")
 
 
 @query("""SELECT CAST(digest_date AS VARCHAR) AS day, digest_version AS version, articles FROM (
@@ -265,26 +319,29 @@ def top_per_feed(spark: SparkSession, folder: str) -> DataFrame:
     return ranked(table(spark, folder, "articles").filter("is_match"), ["source"], [F.desc_nulls_last("confidence"), F.asc("id")]).filter("rank <= 3").select("source", "id", "rank")
 
 
-_IMPACT = "CASE WHEN credit_impact IN ('elevated_risk', 'negative') THEN 0 WHEN credit_impact = 'positive' THEN 1 ELSE 2 END"
+_IMPACT = "CASE WHEN credit_impact IN ('elevated', 'elevated_risk', 'negative') THEN 0 WHEN credit_impact IS NULL OR credit_impact IN ('neutral', 'standard') THEN 1 ELSE 2 END"
 
 
-@query(f"""SELECT topic, id, CAST(row_number() OVER (PARTITION BY topic ORDER BY {_IMPACT}, cr_relevance DESC NULLS LAST, confidence DESC NULLS LAST, id) AS INTEGER) AS rank
+@query(f"""SELECT topic, id, CAST(row_number() OVER (PARTITION BY topic ORDER BY {_IMPACT}, coalesce(cr_relevance, 0) DESC, coalesce(confidence, 0) DESC, id) AS INTEGER) AS rank
            FROM articles WHERE summary IS NOT NULL AND topic IS NOT NULL""")
 def ranked_articles(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "articles").filter("summary IS NOT NULL AND topic IS NOT NULL").withColumn("_i", S.impact_rank(F.col("credit_impact")))
-    return ranked(rows, ["topic"], [F.asc("_i"), F.desc_nulls_last("cr_relevance"), F.desc_nulls_last("confidence"), F.asc("id")]).select("topic", "id", "rank")
+    return ranked(rows, ["topic"], [F.asc("_i"), F.coalesce("cr_relevance", F.lit(0)).desc(), F.coalesce("confidence", F.lit(0.0)).desc(), F.asc("id")]).select("topic", "id", "rank")
 
 
-@query(f"SELECT id, title FROM articles WHERE summary IS NOT NULL ORDER BY cr_relevance DESC NULLS LAST, {_IMPACT}, confidence DESC NULLS LAST, id LIMIT 1")
+@query(rf"""SELECT id, CASE WHEN length(title) <= 50 THEN title WHEN length(regexp_replace(substr(title, 1, 50), ' [^ ]*$', '')) > 25 THEN regexp_replace(substr(title, 1, 50), ' [^ ]*$', '') || '...' ELSE substr(title, 1, 50) || '...' END AS subject
+            FROM articles WHERE summary IS NOT NULL ORDER BY coalesce(cr_relevance, 0) DESC, {_IMPACT}, coalesce(confidence, 0) DESC, id LIMIT 1""")
 def top_article(spark: SparkSession, folder: str) -> DataFrame:
+    """The row that a digest's subject names, its title cut at a word's end."""
     rows = table(spark, folder, "articles").filter("summary IS NOT NULL")
-    return rows.orderBy(F.desc_nulls_last("cr_relevance"), S.impact_rank(F.col("credit_impact")), F.desc_nulls_last("confidence"), "id").select("id", "title").limit(1)
+    top = rows.orderBy(F.coalesce("cr_relevance", F.lit(0)).desc(), S.impact_rank(F.col("credit_impact")), F.coalesce("confidence", F.lit(0.0)).desc(), "id").limit(1)
+    return top.select("id", title_cut(F.col("title"), 50).alias("subject"))
 
 
-@query("""SELECT run_id, status FROM pipeline_runs WHERE started_at >= (SELECT max(started_at) - INTERVAL 30 DAY FROM pipeline_runs) ORDER BY started_at DESC LIMIT 5""")
+@query("""SELECT run_id, status FROM pipeline_runs WHERE started_at >= (SELECT max(started_at) - INTERVAL 7 DAY FROM pipeline_runs) ORDER BY started_at DESC, run_id LIMIT 5""")
 def recent_runs(spark: SparkSession, folder: str) -> DataFrame:
     runs = table(spark, folder, "pipeline_runs")
-    return runs.filter(F.col("started_at") >= latest(runs, "started_at") - F.make_interval(days=F.lit(30))).orderBy(F.desc("started_at")).select("run_id", "status").limit(5)
+    return runs.filter(F.col("started_at") >= latest(runs, "started_at") - F.make_interval(days=F.lit(7))).orderBy(F.desc("started_at"), "run_id").select("run_id", "status").limit(5)
 
 
 @query("""SELECT n_name, r_name, count(DISTINCT c_custkey) AS customers, count(*) AS orders, round(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE), 2) AS total

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from presswerk.functions import dates as D
 from presswerk.functions import text as X
-from presswerk.operators import grouping, matching, queues, state
+from presswerk.operators import duplicates, grouping, matching, queues, state
+from presswerk.operators.timestamps import published_instants
 from presswerk.plans.reports import latest
 from presswerk.sources.tables import table, tables
 
@@ -24,25 +26,51 @@ def query(sql: str | None = None):  # noqa: ANN201
     return add
 
 
-@query("SELECT id FROM articles WHERE pipeline_stage = 'filtered' AND is_match AND processing_status = 'completed'")
+def _placed(queue: DataFrame, order: list) -> DataFrame:
+    """(id, source, place): the queue's order, counted by source so that it is no one task's."""
+    return state.ranked(queue, ["source"], order, "place").select("id", "source", "place")
+
+
+_READY = "articles WHERE pipeline_stage = '{}' AND processing_status = 'completed' AND {}"
+_PRIORITY = "feed_priority ASC NULLS FIRST, collected_at DESC NULLS LAST, id"
+_TIME = "collected_at DESC NULLS LAST, feed_priority ASC NULLS FIRST, id"
+_FRESH = "NOT coalesce(is_duplicate, false)"
+
+
+def _place_sql(order: str, rows: str) -> str:
+    return f"SELECT id, source, CAST(row_number() OVER (PARTITION BY source ORDER BY {order}) AS INTEGER) AS place FROM {rows}"
+
+
+@query(_place_sql(_PRIORITY, "articles WHERE pipeline_stage = 'filtered' AND is_match AND processing_status IN ('completed', 'failed')"))
 def scrape_queue(spark: SparkSession, folder: str) -> DataFrame:
-    return queues.scrape_queue(table(spark, folder, "articles")).select("id")
+    """The queue once the failed rows are to be tried again."""
+    a = table(spark, folder, "articles")
+    again = a.filter("processing_status = 'failed'").select("id")
+    a = state.mark(a, again, "id", {"processing_status": F.lit("completed")})
+    return _placed(queues.scrape_queue(a), queues.by_priority(a))
 
 
-@query("SELECT id FROM articles WHERE pipeline_stage = 'scraped' AND processing_status = 'completed' AND NOT coalesce(is_duplicate, false)")
+@query(_place_sql(_PRIORITY, _READY.format("scraped", _FRESH)))
 def summarize_queue(spark: SparkSession, folder: str) -> DataFrame:
-    return queues.summarize_queue(table(spark, folder, "articles")).select("id")
+    a = table(spark, folder, "articles")
+    return _placed(queues.summarize_queue(a), queues.by_priority(a))
 
 
-@query("SELECT id FROM articles WHERE pipeline_stage = 'scraped' AND processing_status = 'completed' AND NOT coalesce(is_duplicate, false) ORDER BY collected_at DESC NULLS LAST, feed_priority, id LIMIT 50")
+@query(_place_sql(_TIME, _READY.format("scraped", _FRESH)))
 def dedup_queue(spark: SparkSession, folder: str) -> DataFrame:
-    return queues.dedup_queue(table(spark, folder, "articles"), 50).select("id")
+    a = table(spark, folder, "articles")
+    return _placed(queues.dedup_queue(a), queues.by_time(a))
 
 
-@query("SELECT id FROM articles WHERE pipeline_stage = 'scraped' AND processing_status = 'completed' AND NOT coalesce(is_duplicate, false)")
-def dedup_queue_all(spark: SparkSession, folder: str) -> DataFrame:
-    """dedup_queue without its limit."""
-    return queues.dedup_queue(table(spark, folder, "articles")).select("id")
+@query("SELECT id, processing_status FROM articles WHERE pipeline_stage = 'scraped'")
+def stage_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return queues.at_stage(table(spark, folder, "articles"), "scraped").select("id", "processing_status")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey <> 7")
+def master_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers stand for the company master."""
+    return queues.having(table(spark, folder, "customer"), {"c_mktsegment": "BUILDING"}, {"c_nationkey": 7}).select("c_custkey")
 
 
 @query("SELECT id, error_count FROM articles WHERE pipeline_stage = 'collected' AND processing_status IN ('pending', 'failed') AND coalesce(error_count, 0) < 3")
@@ -57,11 +85,11 @@ def recent_reference(spark: SparkSession, folder: str) -> DataFrame:
     return queues.recent(a, latest(a, "collected_at")).select("id")
 
 
-@query("""SELECT id FROM articles WHERE pipeline_stage = 'summarized' AND processing_status = 'completed' AND NOT coalesce(included_in_digest, false)
-          AND coalesce(content_length, 0) >= 400 AND collected_at >= (SELECT max(collected_at) FROM articles) - INTERVAL 60 DAY""")
+@query(_place_sql("feed_priority ASC NULLS FIRST, confidence DESC NULLS LAST, collected_at DESC NULLS LAST, id", """articles WHERE pipeline_stage = 'summarized' AND processing_status = 'completed' AND NOT coalesce(included_in_digest, false)
+          AND coalesce(content_length, 0) >= 400 AND collected_at >= (SELECT max(collected_at) FROM articles) - INTERVAL 60 DAY"""))
 def digest_candidates(spark: SparkSession, folder: str) -> DataFrame:
     a = table(spark, folder, "articles")
-    return queues.digest_candidates(a, latest(a, "collected_at"), days=60).select("id")
+    return _placed(queues.digest_candidates(a, latest(a, "collected_at"), days=60), queues.by_confidence(a))
 
 
 @query("""SELECT a.id FROM articles a JOIN feeds f ON f.name = a.source WHERE a.scraped_at IS NULL OR a.scraped_at >= (SELECT max(collected_at) FROM articles) - to_hours(f.max_age_hours)""")
@@ -71,6 +99,15 @@ def age_filter(spark: SparkSession, folder: str) -> DataFrame:
     return queues.young_enough(joined, "scraped_at", latest(a, "collected_at"), "max_age_hours").select("id")
 
 
+@query()
+def published_age_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows published within the age that their feed allows, or at no known time; SQL can't read the times."""
+    a, feeds = tables(spark, folder, "articles", "feeds")
+    instants = published_instants(a, feeds).select("id", F.to_timestamp("published_utc", "yyyy-MM-dd'T'HH:mm:ssX").alias("published"))
+    joined = a.select("id", "source").join(feeds.select(F.col("name").alias("source"), "max_age_hours"), "source").join(instants, "id", "left")
+    return queues.young_enough(joined, "published", latest(a, "collected_at"), "max_age_hours").select("id")
+
+
 @query("SELECT id, CASE WHEN confidence < 0.7 THEN false ELSE is_match END AS is_match, confidence FROM articles")
 def confidence_threshold(spark: SparkSession, folder: str) -> DataFrame:
     return queues.with_threshold(table(spark, folder, "articles"), 0.7).select("id", "is_match", "confidence")
@@ -82,9 +119,11 @@ def known_hashes(spark: SparkSession, folder: str) -> DataFrame:
     return queues.by_key(a, "url_hash", groups.select(F.col("canonical_url_hash").alias("url_hash"))).groupBy("url_hash").agg(F.count("*").alias("n"))
 
 
-@query("SELECT id, source, title, error_message FROM articles WHERE processing_status = 'failed' AND pipeline_stage <> 'collected'")
+@query("SELECT run_id, id, source, title, error_message, CAST(row_number() OVER (PARTITION BY run_id ORDER BY source, title, id) AS INTEGER) AS place FROM articles WHERE processing_status = 'failed' AND pipeline_stage IN ('filtered', 'scraped')")
 def scrape_failures(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "articles").filter("processing_status = 'failed' AND pipeline_stage != 'collected'").select("id", "source", "title", "error_message")
+    """Of every run, by source and title."""
+    failed = table(spark, folder, "articles").filter("processing_status = 'failed' AND pipeline_stage IN ('filtered', 'scraped')")
+    return state.ranked(failed, ["run_id"], [F.asc("source"), F.asc("title"), F.asc("id")], "place").select("run_id", "id", "source", "title", "error_message", "place")
 
 
 @query("""SELECT g.run_id, count(DISTINCT g.id) AS groups, count(DISTINCT a.id) AS canonical_rows FROM duplicate_groups g JOIN articles a ON a.url_hash = lower(trim(g.canonical_url_hash)) GROUP BY g.run_id""")
@@ -110,6 +149,26 @@ def scraped_not_summarized(spark: SparkSession, folder: str) -> DataFrame:
     return a.filter("content IS NOT NULL").join(a.filter("summary IS NOT NULL").select("url_hash").distinct(), "url_hash", "left_anti").select("id")
 
 
+@query("""SELECT language, count(*) AS n FROM articles a WHERE language IN ('fr', 'it') AND NOT coalesce(is_duplicate, false) AND NOT EXISTS (SELECT 1 FROM duplicate_members m WHERE lower(trim(m.duplicate_url_hash)) = a.url_hash) GROUP BY language""")
+def foreign_side(spark: SparkSession, folder: str) -> DataFrame:
+    """French and Italian rows that no pass has called duplicates yet."""
+    a, members = tables(spark, folder, "articles", "duplicate_members")
+    found = members.select(F.lower(F.trim("duplicate_url_hash")).alias("url_hash"))
+    return duplicates.surviving(a.filter(F.col("language").isin("fr", "it")), found).groupBy("language").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT c.url_hash, strftime(min(t.t) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') AS earliest FROM (SELECT DISTINCT url_hash FROM articles WHERE NOT coalesce(is_duplicate, false)) c JOIN (
+          SELECT url_hash AS h, scraped_at AS t FROM articles WHERE NOT coalesce(is_duplicate, false) UNION ALL SELECT canonical_url_hash, scraped_at FROM articles WHERE coalesce(is_duplicate, false)) t ON t.h = c.url_hash
+          WHERE t.t IS NOT NULL AND NOT (hour(t.t AT TIME ZONE 'UTC') = 0 AND minute(t.t AT TIME ZONE 'UTC') = 0) GROUP BY c.url_hash""")
+def earliest_times(spark: SparkSession, folder: str) -> DataFrame:
+    """The earliest time of a row and its duplicates; midnight is no time of day."""
+    a, dup = table(spark, folder, "articles"), F.coalesce("is_duplicate", F.lit(False))
+    kept = a.filter(~dup).select("url_hash").distinct()
+    times = a.select(F.when(dup, F.col("canonical_url_hash")).otherwise(F.col("url_hash")).alias("url_hash"), F.col("scraped_at").cast("timestamp").alias("t"))
+    found = times.groupBy("url_hash").agg(F.min(D.time_of_day(F.col("t"))).alias("earliest")).filter("earliest IS NOT NULL")
+    return found.join(kept, "url_hash", "left_semi").select("url_hash", F.date_format("earliest", "yyyy-MM-dd'T'HH:mm:ss").alias("earliest"))
+
+
 @query("""SELECT count(DISTINCT url_hash) AS with_content FROM articles WHERE content IS NOT NULL""")
 def distinct_with_content(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "articles").filter("content IS NOT NULL").agg(F.count_distinct("url_hash").alias("with_content"))
@@ -143,11 +202,10 @@ def dup_sources_nested(spark: SparkSession, folder: str) -> DataFrame:
 def insert_if_absent(spark: SparkSession, folder: str) -> DataFrame:
     """The second half of the batches as new items against the first half."""
     a, runs = tables(spark, folder, "articles", "pipeline_runs")
-    numbered = matching.first_of(runs, ["run_id"], [F.asc("started_at")]).select("run_id", "started_at")
-    middle = numbered.agg(F.expr("sort_array(collect_list(unix_micros(started_at)))").alias("t")).first()["t"]
-    cut = middle[len(middle) // 2 - 1] if len(middle) > 1 else -1
-    rows = a.join(numbered, "run_id")
-    late = F.unix_micros("started_at") > cut
+    # One row a run.
+    numbered = runs.groupBy("run_id").agg(F.min("started_at").alias("started_at")).withColumn("_k", F.row_number().over(matching.Window.orderBy("started_at")))
+    rows = a.join(numbered.withColumn("_all", F.count("*").over(matching.Window.partitionBy())), "run_id")
+    late = F.col("_k") > F.col("_all") / 2
     new = rows.filter(late).select("id", "url_hash")
     return state.insert_if_absent(rows.filter(~late).select("url_hash").distinct(), new, "url_hash", ["id"]).select("id", "url_hash")
 

@@ -46,16 +46,53 @@ def first_working(providers: list[Provider]) -> Provider:
     return run
 
 
-def apply(df: DataFrame, provider: Provider, schema: str) -> DataFrame:
-    """The provider's rows for df; it is called once for each distinct input row that a batch holds."""
+def _parts(batch: pd.DataFrame, provider: Provider, size: int) -> Iterator[pd.DataFrame]:
+    """The provider's rows for parts of a batch; a part that fails is halved until the rows that fail are alone."""
+    todo = [batch.iloc[k : k + size] for k in range(0, len(batch), size)][::-1]
+    while todo:
+        part = todo.pop()
+        try:
+            yield provider(part.reset_index(drop=True))
+        except Exception:
+            if len(part) > 1:
+                half = len(part) // 2
+                todo += [part.iloc[half:], part.iloc[:half]]
+
+
+def apply(df: DataFrame, provider: Provider, schema: str, size: int = 1000) -> DataFrame:
+    """The provider's rows for df, which it is given in parts of at most so many rows.
+
+    A row that it fails on has no row in the result and harms no other one. Callers join the
+    result by its key and decide what a missing row means. It is called for every row: collapse
+    equal ones first.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield provider(batch)
+            yield from _parts(batch, provider, size)
 
     return df.mapInPandas(run, schema)
 
 
+def tiers(first: Provider, second: Provider, key: str, value: str, quality: str = "extraction_quality", loss: float = 0.05) -> Provider:
+    """Rows by the first provider; those it has no value for, or fails on, by the second, whose quality counts a little less."""
+
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        try:
+            out = first(batch)
+        except Exception:
+            out = None
+        good = out[out[value].notna()] if out is not None else None
+        rest = batch if good is None else batch[~batch[key].isin(good[key])]
+        if not len(rest):
+            return good
+        other = second(rest.reset_index(drop=True))
+        other[quality] = (other[quality] - loss).clip(lower=0.0)
+        return other if good is None or not len(good) else pd.concat([good, other], ignore_index=True)
+
+    return run
+
+
 CLASSIFIED = "url_hash string, is_match boolean, confidence double, topic string, reason string"
 
 

@@ -66,7 +66,10 @@ def test_dates(spark):
 
 def test_scores(spark):
     assert one(spark, S.impact(F.lit("elevated_risk"))) == "negative" and one(spark, S.impact(F.lit(None).cast("string"))) == "neutral"
-    assert one(spark, S.error_class(F.lit("SSL handshake failed"))) == "ssl"
+    assert one(spark, S.error_class(F.lit("SSL handshake failed"))) == "SSL handshake failed" and one(spark, S.error_class(F.lit("HTTP 403"))) == "Blocked (403)" and one(spark, S.error_class(F.lit("x" * 80))) == "x" * 50
+    assert [one(spark, S.error_class(F.lit(m))) for m in ("", "Read Timeout", "page not found", "Connection reset", "both methods failed")] == ["Unknown", "Timeout", "Not Found (404)", "Connection Error", "Content Extraction Failed"]
+    assert [one(spark, S.impact_rank(F.lit(x).cast("string"))) for x in ("negative", None, "positive", "odd", "elevated")] == [0, 1, 2, 2, 0]
+    assert [one(spark, S.provider(F.lit(m), S.PROVIDERS_4, "Other")) for m in ("GPT-4o", "o1-mini", "gemini:x", "ox-nano")] == ["OpenAI", "OpenAI", "Gemini", "Other"]
     assert one(spark, S.quality(F.lit(2000), F.lit(True), F.lit(True))) == 1.0
     assert one(spark, S.provider(F.lit("DeepSeek:x"), S.PROVIDERS_4, "Other")) == "DeepSeek"
 

@@ -8,6 +8,7 @@ import pytest
 from presswerk.functions.similarity import simhash_of
 from presswerk.operators import duplicates
 from presswerk.plans import pipeline as P
+from presswerk.session import materialize
 from presswerk.sources.providers import keyword_classifier
 
 SCHEMA = """url_hash string, url string, title string, source string, collected_at timestamp, feed_priority int, id bigint, is_match boolean, confidence double, topic string, classification_reason string,
@@ -29,19 +30,19 @@ def test_stages_and_idempotence(spark):
     new, pages = items(spark)
     cfg = P.Config(as_of=F.timestamp_seconds(F.lit(1_760_100_000)), classifier=keyword_classifier({"insolvency": ["konkurs"]}))
     empty = spark.createDataFrame([], SCHEMA)
-    a = P.collect(empty, new)
+    a = materialize(P.collect(empty, new), "a")
     assert a.count() == 4 and P.collect(a, new).count() == 4
-    b = P.classify(a, cfg)
+    b = materialize(P.classify(a, cfg)[0], "b")
     assert {r["url_hash"]: r["is_match"] for r in b.collect()} == {"h1": True, "h2": True, "h3": False, "h4": True}
-    c = P.scrape(b, pages)
+    c = materialize(P.scrape(b, pages), "c")
     assert {r["url_hash"]: (r["pipeline_stage"], r["processing_status"]) for r in c.collect()} == {"h1": ("scraped", "completed"), "h2": ("scraped", "completed"), "h3": ("filtered", "completed"), "h4": ("filtered", "failed")}
-    d = P.deduplicate(c)
+    d = materialize(P.deduplicate(c), "d")
     assert {r["url_hash"]: r["canonical_url_hash"] for r in d.filter("is_duplicate").collect()} == {"h2": "h1"}
-    e = P.summarize(d, cfg)
+    e = materialize(P.summarize(d, cfg)[0], "e")
     assert [r["url_hash"] for r in e.filter("summary IS NOT NULL").collect()] == ["h1"]
     chosen = P.digest(e, cfg)
     assert [(r["url_hash"], r["rank"]) for r in chosen.collect()] == [("h1", 1)]
-    f = P.mark_digested(e, chosen, F.lit("2025-10-10").cast("date"))
+    f = materialize(P.mark_digested(e, chosen, F.lit("2025-10-10").cast("date")), "f")
     assert f.filter("included_in_digest").count() == 1 and P.digest(f, cfg).count() == 0
     assert P.run_summary(f.withColumn("run_id", F.lit("r")), "r").filter("kind = 'failed'").count() == 1
 
@@ -130,9 +131,97 @@ def test_duplicates_across_runs_and_languages(spark):
 
 
 def test_tables_in_the_shared_folder_are_cleared(spark):
-    from presswerk.session import clear, materialize, shared_dir
+    from presswerk.session import clear, shared_dir
 
     df = materialize(spark.range(3).toDF("id"), "x")
     assert df.count() == 3 and shared_dir(spark) and clear(spark) >= 1
     with pytest.raises(Exception, match="NOT_EXIST|does not exist|FAILED_READ"):
         materialize(spark.range(2).toDF("id"), "y").count() + df.count()
+
+
+CACHE = "cache_key string, {}, created_at timestamp, expires_at timestamp, hit_count bigint"
+
+
+def test_a_whole_run_and_a_second_one(spark):
+    new, pages = items(spark)
+    calls = []
+    cfg = P.Config(as_of=F.timestamp_seconds(F.lit(1_760_100_000)), classifier=keyword_classifier({"insolvency": ["konkurs"]}))
+    tables = {
+        "classification_cache": spark.createDataFrame([], CACHE.format("is_match boolean, confidence double, topic string, classification_reason string")),
+        "content_fingerprints": spark.createDataFrame([], CACHE.format("summary_title string, summary string, key_points array<string>")),
+    }
+    extra = "language string, entities struct<companies: array<string>, people: array<string>, locations: array<string>, topics: array<string>>, extraction_method string, extraction_quality double, author string"
+    tables["articles"] = spark.createDataFrame([], f"{SCHEMA}, {extra}")
+    done = P.run(tables, cfg, new, pages)
+    a = {r["url_hash"]: r for r in done["articles"].collect()}
+    assert {h: r["pipeline_stage"] for h, r in a.items()} == {"h1": "digested", "h2": "scraped", "h3": "filtered", "h4": "filtered"} and a["h2"]["canonical_url_hash"] == "h1"
+    assert done["classification_cache"].count() == 4 and done["content_fingerprints"].count() == 1 and done["digests"].select("version").first()[0] == 1
+    again = P.run(done, cfg, new, pages)
+    assert sorted(map(str, again["articles"].collect())) == sorted(map(str, done["articles"].collect())) and again["digests"].count() == 1
+
+    def never(batch):
+        calls.append(len(batch))
+        raise AssertionError
+
+    # A reset works through the caches: neither provider is asked again.
+    back = P.run(done, P.Config(cfg.as_of, never, never), None, pages, reset_kind="all")
+    assert {r["url_hash"]: r["topic"] for r in back["articles"].collect()}["h1"] == "insolvency" and back["articles"].filter("summary IS NOT NULL").count() == 1
+    assert back["digests"].count() == 2 and back["classification_cache"].agg(F.sum("hit_count")).first()[0] == 4
+    kept = P.run(done, cfg, None, None, skip=frozenset({"classify", "deduplicate", "summarize", "digest"}), reset_kind="digest")
+    assert kept["articles"].filter("pipeline_stage = 'digested'").count() == 0 or kept["digests"].count() == 0
+
+
+def test_a_failing_classifier_rejects(spark):
+    new, _ = items(spark)
+
+    def bad(batch):
+        raise ValueError
+
+    rows, _ = P.classify(P.collect(spark.createDataFrame([], SCHEMA), new), P.Config(F.timestamp_seconds(F.lit(1_760_100_000)), bad))
+    assert {(r["is_match"], r["topic"], r["confidence"], r["pipeline_stage"]) for r in rows.collect()} == {(False, "error", 0.0, "filtered")}
+
+
+@pytest.mark.parametrize("kind", P.RESETS)
+def test_resets(spark, kind):
+    day = F.lit("2026-01-02").cast("date")
+    rows = [(1, "digested", "2026-01-02", "2026-01-02"), (2, "summarized", "2026-01-01", None), (3, "scraped", "2026-01-02", None), (4, "digested", "2026-01-01", "2026-01-01"), (5, None, None, None)]
+    df = spark.createDataFrame(rows, "id int, pipeline_stage string, c string, d string").select("id", "pipeline_stage", F.col("c").cast("timestamp").alias("collected_at"), F.col("d").cast("date").alias("digest_date"), F.lit("s").alias("summary"), F.lit("x").alias("content"), F.lit(True).alias("included_in_digest"), F.lit("old").alias("processing_status"), F.lit(1).alias("digest_version"))
+    got = {r["id"]: r for r in P.reset(df, kind, day).collect()}
+    want = {"digest": {1: ("summarized", "s", "x", "old")}, "summarization": {k: ("scraped", None, "x", "completed") for k in (1, 2, 4)}, "summarization-today": {1: ("scraped", None, "x", "completed")}, "all": {k: ("collected", None, None, "pending") for k in range(1, 6)}, "all-today": {k: ("collected", None, None, "pending") for k in (1, 3)}}[kind]
+    for k, r in got.items():
+        if k in want:
+            assert (r["pipeline_stage"], r["summary"], r["content"], r["processing_status"], r["included_in_digest"], r["digest_version"]) == (*want[k], False, None)
+        else:
+            assert r["summary"] == "s" and r["processing_status"] == "old" and r["included_in_digest"]
+
+
+def test_fresh_start(spark):
+    day = F.lit("2026-01-02").cast("date")
+    a = spark.createDataFrame([(1, "x", "2026-01-02 10:00:00"), (2, "y", "2026-01-01 10:00:00"), (3, "z", None)], "id int, url_hash string, c string").select("id", "url_hash", F.col("c").cast("timestamp").alias("collected_at"))
+    t = {"articles": a, "duplicate_members": spark.createDataFrame([("x",), ("y",)], "duplicate_url_hash string"), "article_images": spark.createDataFrame([(1,), (2,)], "article_id int"), "digests": spark.createDataFrame([("2026-01-02",), ("2026-01-01",)], "d string").select(F.col("d").cast("date").alias("digest_date"))}
+    out = P.fresh_start(t, day)
+    assert {n: d.count() for n, d in out.items()} == {"articles": 2, "duplicate_members": 1, "article_images": 1, "digests": 1}
+
+
+def test_groups_of_a_model_or_else_topics(spark):
+    rows = [("d1", 1, "a", 5), ("d1", 2, "b", 1), ("d1", 3, "b", 1), ("d2", 1, "a", 1), ("d2", 2, "b", 9)]
+    df = spark.createDataFrame(rows, "digest_date string, rank int, topic string, cr_relevance int").withColumn("confidence", F.lit(0.5))
+    claims = spark.createDataFrame([("d1", 0, "G", 1), ("d1", 0, "G", 3), ("d1", 1, "H", 3), ("d1", 1, "H", 99), ("d2", 0, "X", 7)], "digest_date string, position int, label string, item int")
+    got = {(r["digest_date"], r["rank"]): r["group"] for r in P.regroup(df, claims).collect()}
+    assert got == {("d1", 1): "G", ("d1", 2): "Weitere Themen", ("d1", 3): "G", ("d2", 1): "a", ("d2", 2): "b"}
+    places = {(r["digest_date"], r["group"]): r["group_place"] for r in P.regroup(df, claims).collect()}
+    assert places["d2", "b"] < places["d2", "a"]
+
+
+def test_meta_analysis_with_a_failing_provider(spark):
+    df = spark.createDataFrame([("d1", 1, "T", None, "s", "x"), ("d2", 1, "U", None, None, None)], "digest_date string, rank int, title string, summary_title string, summary string, topic string").withColumn("entities", F.lit(None).cast("struct<companies: array<string>>"))
+
+    def model(batch):
+        if (batch["digest_date"] == "d2").any():
+            raise ValueError
+        assert batch["body"][0].startswith("1. T\n   Summary: s...\n   Topic: x")
+        return pd.DataFrame({"digest_date": batch["digest_date"], **{m: [["said"]] * len(batch) for m in P.META}})
+
+    got = {r["digest_date"]: (r["key_themes"], r["market_insights"]) for r in P.meta_analysis(df, provider=model).collect()}
+    assert got == {"d1": (["said"], ["said"]), "d2": (["Analysis unavailable"], [])}
+    assert [tuple(r)[:3] for r in P.meta_analysis(df).collect()] == [("d1", [], ["x"])]
