@@ -31,12 +31,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from presswerk.llm.residue import ExemplarIndex, exemplar_index
-from presswerk.llm.residue import words as tokens
+from presswerk.llm.residue import ExemplarIndex, exemplar_index, folded, tokens, words
 from presswerk.operators.skew import join_counted
 from presswerk.session import materialize
 
-_SPACE, _DIGITS = re.compile(r"\s+"), re.compile(r"\d+")
 _QUOTED = re.compile(r"«[^«»]+»|“[^“”]+”|„[^„“]+“|\"[^\"]+\"|(?<!\w)'[^']+'(?!\w)")
 _QUOTE = re.compile("[«“„\"']")
 _LIST = re.compile(r"\s+[/|·•>»›]\s+")
@@ -54,12 +52,12 @@ def key(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def masked(line: str, host: str) -> str:
-    """The line with its white space collapsed, case folded, and host name, quoted names and digits as slots."""
-    t = _SPACE.sub(" ", line).strip().casefold()
+def masked(plain: str, host: str) -> str:
+    """A folded line with its white space collapsed, and host name and quoted names as slots."""
+    t = " ".join(plain.split())
     if host:
         t = t.replace(host, "<h>")
-    return _DIGITS.sub("0", _QUOTED.sub("<q>", t) if _QUOTE.search(t) else t)
+    return _QUOTED.sub("<q>", t) if _QUOTE.search(t) else t
 
 
 def tail(text: str) -> str:
@@ -70,9 +68,9 @@ def tail(text: str) -> str:
     return text[end:].strip(" :,–-)(|") if end is not None else ""
 
 
-def line_nodes(line: str, host: str) -> list[tuple[int, int, int]]:
-    """(presentation, nodes that must be unimportant, content node) of a line."""
-    t = masked(line, host)
+def line_nodes(plain: str, host: str) -> list[tuple[int, int, int]]:
+    """(presentation, nodes that must be unimportant, content node) of a folded line."""
+    t = masked(plain, host)
     if not t:
         return []
     out = [(LINE, 1, key(t))]
@@ -115,14 +113,15 @@ def read_pages(articles: DataFrame, index: ExemplarIndex, label: Column | None =
             for i, lab, addr, source, content, title, url in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
                 source = source or ""
                 if source not in hosts:
-                    hosts[source] = (_SPACE.sub(" ", source).strip().casefold(), key(source))
+                    hosts[source] = (" ".join(folded(source).split()), key(source))
                 host, number = hosts[source]
                 case, lines = residue.page(content, title, url, source)
-                told = [line_nodes(line, host) for line, _ in lines.values()]
-                where, styles = elements([(line, len(words), found[-1][0] if found else 0) for (line, words), found in zip(lines.values(), told, strict=True)])
+                told = [line_nodes(plain, host) for _, _, plain in lines.values()]
+                where, styles = elements([(line, len(window), found[-1][0] if found else 0) for (line, window, _), found in zip(lines.values(), told, strict=True)])
                 nodes = [(n, spot, *x) for n, spot, found in zip(lines, where, told, strict=True) for x in found]
-                sig = key(" ".join(max((w for _, w in lines.values()), key=len, default=())) or content)
-                scores = score([w for _, w in lines.values()]).ravel() if score and not case else None
+                longest = max(lines.values(), key=lambda x: len(x[1]), default=(content,))[0]
+                sig = key(" ".join(words(longest)) or content)
+                scores = score([w for _, w, _ in lines.values()]).ravel() if score and not case else None
                 columns = list(zip(*nodes, strict=True)) or [()] * 5
                 named = score([tokens(title or "")]).ravel() if score and not case else None
                 out.append((i, lab, addr, number, sig, case, styles, *columns, tuple(lines) if score else None, scores, named))
@@ -142,7 +141,7 @@ def title_tails(articles: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(key(t), key("tail:" + end)) for t in batch.column(0).to_pylist() if " " in (end := tail(masked(t, "")))]
+            rows = [(key(t), key("tail:" + end)) for t in batch.column(0).to_pylist() if " " in (end := tail(masked(folded(t), "")))]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["sig", "node"])
 
     return articles.filter("title IS NOT NULL").select(F.col("title").cast("string")).distinct().mapInArrow(run, "sig bigint, node bigint")

@@ -105,6 +105,7 @@ _OPENING = re.compile("|".join(re.escape(o) for o in sorted({o for o, _, _ in SL
 _SLOTS_BY_SIGN = {o: [re.compile(rf"{re.escape(o)}\s*(?:{form})\s*{re.escape(c)}" if c[0] == " " else re.escape(o) + f"(?:{form})" + re.escape(c)) for x, c, form in SLOTS if x == o] for o, _, _ in SLOTS}
 _TOKEN = re.compile(r"[^\W\d_]+|\d+")
 _LETTERS = re.compile(r"[^\W\d_]+")
+_DIGIT, _DIGITS = re.compile(r"\d"), re.compile(r"\d+")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 _ADDRESS = re.compile(r"^\s*(?:https?://|www\.)\S+\s*$")
 #: Letters of a word that a pool goes by.
@@ -116,9 +117,15 @@ def words(text: str) -> list[str]:
     return _TOKEN.findall(text.casefold())
 
 
+def folded(text: str) -> str:
+    """Without case, and with every run of digits as one."""
+    text = text.casefold()
+    return _DIGITS.sub("0", text) if _DIGIT.search(text) else text
+
+
 def tokens(text: str) -> list[str]:
     """The words with every run of digits as one term."""
-    return ["0" if t[0].isdigit() else t for t in words(text)]
+    return _TOKEN.findall(folded(text))
 
 
 def has_slot(text: str) -> bool:
@@ -158,6 +165,9 @@ class ExemplarIndex:
                 for term in rare:
                     self.postings.setdefault(term, []).append(len(self.exemplars) - 1)
         self.keys = set(self.postings)
+        #: Terms of exemplars with an open part; and the weight of the heaviest window that a closed one can cover.
+        self.open_keys = {t for t, found in self.postings.items() if any(self.exemplars[e][0] in OPEN for e in found)}
+        self.heaviest = max(whole for kind, _, _, whole in self.exemplars if kind in CLOSED) / closed
         #: All terms of the closed exemplars, by their beginnings as words are inflected; and by label those that hardly any row of the corpus has.
         pools = {k: {t for x in EXEMPLARS[k] for t in tokens(x)} for k in CLOSED}
         self.pool = {t[:STEM] for pool in pools.values() for t in pool}
@@ -173,13 +183,15 @@ class ExemplarIndex:
 
     def kind(self, window: list[str]) -> str | None:
         """The label of the exemplar that covers the window, or None. A window is compared with every exemplar that shares one of its rarest terms and is heavy enough to cover it."""
-        if self.keys.isdisjoint(window):
+        terms = self.keys.intersection(window)
+        if not terms:
             return None
-        window = ["0" if t[0].isdigit() else t for t in window]
-        counts = Counter(window)
-        hits = {e for t in counts.keys() & self.keys for e in self.postings[t]}
         get, top = self.idf.get, self.top
         total = sum([get(t, top) for t in window])
+        if total > self.heaviest and self.open_keys.isdisjoint(terms):
+            return None
+        counts = Counter(window)
+        hits = {e for t in terms for e in self.postings[t]}
         best, label = 0.0, None
         for e in hits:
             kind, terms, have, whole = self.exemplars[e]
@@ -214,7 +226,6 @@ class ExemplarIndex:
 
     def quoted(self, window: list[str], own: set[str]) -> str | None:
         """The label of an exemplar that stands whole in the window, next to the page's own words, beginnings of them and at most one other."""
-        window = ["0" if t[0].isdigit() else t for t in window]
         seen: set[int] = set()
         for term in self.keys.intersection(window):
             for e in self.postings[term]:
@@ -230,13 +241,19 @@ class ExemplarIndex:
                             return kind
         return None
 
-    def sentences(self, line: str) -> list[tuple[str | None, int]]:
-        """(label or None, tokens) of each sentence of a line of several; nothing if none has a label."""
-        windows = [w for w in (words(s) for s in _SENTENCE.split(line)) if w]
-        if len(windows) < 2:
+    def sentences(self, line: str, keys: set[str]) -> list[tuple[str | None, int]]:
+        """(label or None, tokens) of each sentence of a line of several; nothing if none has a label. keys: those of the line."""
+        parts = _SENTENCE.split(line)
+        if len(parts) < 2:
+            return []
+        # A sentence without a key has no label; only the others are looked at first.
+        kinds: list[str | None] = []
+        for s in parts:
+            folded = s.casefold()
+            kinds.append(self.kind(tokens(s)) if any(k in folded for k in keys) else None)
+        if not any(kinds):
             return []
-        kinds = [(self.kind(w), len(w)) for w in windows]
-        return kinds if any(k for k, _ in kinds) else []
+        return [(k, n) for k, n in zip(kinds, (len(tokens(s)) for s in parts), strict=True) if n]
 
     def is_filler(self, window: list[str]) -> bool:
         if len(window) < 3 or self.latin_keys.isdisjoint(window):
@@ -244,30 +261,31 @@ class ExemplarIndex:
         covered = sum(self.weight(t) for t in window if t in self.latin)
         return covered >= self.filler_bar * sum(map(self.weight, window))
 
-    def page(self, text: str, title: str | None = None, address: str | None = None, source: str | None = None) -> tuple[bool, dict[int, tuple[str, list[str]]]]:
-        """Whether the page is a case; and text and tokens of each line (from 1) that isn't empty or residue.
+    def page(self, text: str, title: str | None = None, address: str | None = None, source: str | None = None) -> tuple[bool, dict[int, tuple[str, list[str], str]]]:
+        """Whether the page is a case; and text, tokens and folded text of each line (from 1) that isn't empty or residue.
 
         Error pages name what was asked for: words of the page's own title, address and source
         are no evidence against an exemplar.
         """
         own: set[str] | None = None
-        lines: dict[int, tuple[str, list[str]]] = {}
+        lines: dict[int, tuple[str, list[str], str]] = {}
         hit, residue, report, likely = False, 0, 0, 0
         keys, latin = self.keys, self.latin_keys
         marks = self.every_mark
         for number, line in enumerate(text.split("\n"), 1):
-            window = words(line)
+            plain = folded(line)
+            window = _TOKEN.findall(plain)
             if not window:
                 if line and not line.isspace():
-                    lines[number] = (line, window)
+                    lines[number] = (line, window, plain)
                 continue
             kind, rest = None, len(window)
             if not keys.isdisjoint(window):
                 kind = self.kind(window)
                 if kind is None:
-                    own = own or {*words(title or ""), *words(address or ""), *words(source or "")}
+                    own = own or {*tokens(title or ""), *tokens(address or ""), *tokens(source or "")}
                     kind = self.quoted(window, own)
-                if kind is None and (parts := self.sentences(line)):
+                if kind is None and (parts := self.sentences(line, keys.intersection(window))):
                     hit = hit or any(k == "draft" for k, _ in parts)
                     rest = sum(n for k, n in parts if k is None)
                     residue += len(window) - rest
@@ -281,8 +299,8 @@ class ExemplarIndex:
                 hit = True
             if has_slot(line):
                 hit = True
-            lines[number] = (line, window)
-            if rest == len(window) and not marks.isdisjoint([t[:STEM] for t in window]) and any(self.pooled(words(x)) for x in _SENTENCE.split(line)):
+            lines[number] = (line, window, plain)
+            if rest == len(window) and len(marks.intersection([t[:STEM] for t in window])) > 1 and any(self.pooled(tokens(x)) for x in _SENTENCE.split(line)):
                 # Furniture speaks of scripts too: such a line counts for the page, but stays one of its lines.
                 likely += rest
             elif rest >= 8 and not _ADDRESS.match(line):
