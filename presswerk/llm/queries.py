@@ -57,6 +57,13 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked_items(*tables(spark, folder, "documents", "eval_passages"))
 
 
+def p9_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages with up to one wrong word too, and how much they share."""
+    from presswerk.llm.leaks import leaked_passages
+
+    return leaked_passages(*tables(spark, folder, "documents", "eval_passages"))
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     from presswerk.llm.mojibake import garbled_documents
 
@@ -64,7 +71,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p6_found, p7_found, p8_ids, p9_found, p10_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p6_found, p7_found, p8_ids, p9_found, p9_passages, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -27,6 +27,7 @@ def test_queries(spark, folder, name):
 COLUMNS = {
     "p1_found": [("id", "bigint")], "p2_found": [("id", "bigint"), ("line_no", "bigint")], "p3_found": [("id", "bigint")], "p4_found": [("url_hash", "string"), ("group_key", "string")], "p6_found": [("id", "bigint"), ("line_no", "bigint")],
     "p7_found": [("id", "bigint"), ("line_no", "bigint"), ("lang", "string")], "p8_ids": [("doc_id", "bigint"), ("ids", "array<int>")], "p9_found": [("doc_id", "bigint"), ("item_id", "bigint")], "p10_found": [("doc_id", "bigint")],
+    "p9_passages": [("doc_id", "bigint"), ("item_id", "bigint"), ("run", "int"), ("errors", "int")],
 }
 
 
