@@ -178,7 +178,7 @@ def test_simhash_of_rows_without_summary(spark, tmp_path):
         value = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
         if value:
             want[key] = value - (1 << 64 if value >> 63 else 0)
-    assert {r["id"]: r["simhash"] for r in texts.QUERIES["simhash_all_values"](spark, str(tmp_path)).collect()} == want and set(want) == {1, 2}
+    assert {r["id"]: r["simhash"] for r in texts.QUERIES["simhash_values"](spark, str(tmp_path)).collect()} == want and set(want) == {1, 2}
 
 
 def test_cross_language_takes_italian_and_tells_members(spark, tmp_path):
@@ -187,15 +187,17 @@ def test_cross_language_takes_italian_and_tells_members(spark, tmp_path):
     made = [(1, "de", ["UBS", "CS"]), (2, "de", ["CS", "UBS"]), (3, "it", ["UBS"]), (4, "fr", ["UBS"]), (5, "fr", ["Nestlé"]), (6, "en", ["UBS"]), (7, "it", None)]
     spark.createDataFrame(made, "id bigint, language string, c array<string>").selectExpr("id", "language", "named_struct('companies', c) AS entities").write.parquet(f"{tmp_path}/articles.parquet")
     run = lambda name: sorted(tuple(r) for r in texts.QUERIES[name](spark, str(tmp_path)).collect())
-    assert run("cross_language_pairs") == [(3, 1, 1)]
+    assert run("cross_language_candidates") == [(3, 1, 1)]
     assert run("cross_language_members") == [("foreign", 3, 3), ("foreign", 4, 3), ("foreign", 5, 5), ("german", 1, 1), ("german", 2, 1)]
 
 
 def test_dedup_queue_whole_and_in_order(spark, tmp_path):
     from presswerk.plans import selection
 
-    rows = spark.range(60).selectExpr("id", "timestamp_seconds(1760000000 + id DIV 2) AS collected_at", "CAST(id % 2 AS int) AS feed_priority", "'scraped' AS pipeline_stage", "'completed' AS processing_status", "CAST(NULL AS boolean) AS is_duplicate")
+    rows = spark.range(60).selectExpr("id", "timestamp_seconds(1760000000 + id DIV 2) AS collected_at", "CAST(id % 2 AS int) AS feed_priority", "'scraped' AS pipeline_stage", "'completed' AS processing_status", "CAST(NULL AS boolean) AS is_duplicate", "'s' AS source")
     rows.write.parquet(f"{tmp_path}/articles.parquet")
-    got = [r["id"] for r in selection.QUERIES["dedup_queue_all"](spark, str(tmp_path)).collect()]
+    got = [r["id"] for r in queues.dedup_queue(rows).collect()]
     assert got == [k for half in range(29, -1, -1) for k in (2 * half, 2 * half + 1)]
+    placed = selection.QUERIES["dedup_queue"](spark, str(tmp_path)).collect()
+    assert [r["id"] for r in sorted(placed, key=lambda r: r["place"])] == got
     assert [r["id"] for r in queues.dedup_queue(rows, 3).collect()] == got[:3]
