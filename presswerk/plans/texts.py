@@ -114,10 +114,11 @@ def title_jaccard_members(spark: SparkSession, folder: str) -> DataFrame:
 _KEYWORDS = rf"list_sort(list_distinct(list_filter(regexp_extract_all(lower(title), '[\p{{L}}\p{{N}}_]+'), lambda t: length(t) > 3 AND regexp_matches(t, '^[a-zäöüß]+$') AND t NOT IN ({_KSTOP}))))"
 
 
-@query(_jaccard_sql(_KEYWORDS, "(SELECT * FROM documents WHERE title IS NOT NULL)", "doc_id", 0.8))
+@query(_jaccard_sql(_KEYWORDS, "(SELECT * FROM documents WHERE title IS NOT NULL)", "doc_id", 0.6))
 def keyword_jaccard_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """At 0.6: few titles of other words are more alike."""
     rows = table(spark, folder, "documents").filter("title IS NOT NULL").select("doc_id", X.keywords(F.col("title")).alias("t"))
-    pairs, _ = matching.jaccard_pairs(rows, "doc_id", "t", 0.8)
+    pairs, _ = matching.jaccard_pairs(rows, "doc_id", "t", 0.6)
     return pairs.withColumn("similarity", F.round("similarity", 6))
 
 
@@ -449,7 +450,7 @@ def digest_prompts(spark: SparkSession, folder: str) -> DataFrame:
     return _days(pipeline.articles_prompt(_digest_rows(spark, folder)))
 
 
-@query("""SELECT run_id, id, position, url FROM (SELECT a.run_id, a.id, a.url, row_number() OVER (PARTITION BY a.run_id ORDER BY a.id) AS position FROM articles a WHERE summary IS NOT NULL) WHERE position IN (1, 3)""")
+@query("""SELECT run_id, id, position, url FROM (SELECT a.run_id, a.id, a.url, row_number() OVER (PARTITION BY a.run_id ORDER BY a.id) AS position FROM articles a WHERE summary IS NOT NULL) WHERE position IN (1, 3, 99)""")
 def picked_by_index(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of a run that a model named by their numbers."""
     rows = state.ranked(table(spark, folder, "articles").filter("summary IS NOT NULL"), ["run_id"], [F.asc("id")], "position").select("run_id", "id", "position", "url")
