@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -201,3 +202,20 @@ def test_dedup_queue_whole_and_in_order(spark, tmp_path):
     placed = selection.QUERIES["dedup_queue"](spark, str(tmp_path)).collect()
     assert [r["id"] for r in sorted(placed, key=lambda r: r["place"])] == got
     assert [r["id"] for r in queues.dedup_queue(rows, 3).collect()] == got[:3]
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.6, 0.8])
+def test_jaccard_pairs_are_compared_where_they_meet(spark, monkeypatch, threshold):
+    from test_queries import plan
+
+    monkeypatch.setattr(matching, "TILE", 50)
+    r = random.Random(6)
+    sets = {f"k{i}": frozenset(r.sample("abcdefghijklmn", r.randint(1, 9))) for i in range(400)} | {"many": frozenset(map(str, range(3000))), "more": frozenset(map(str, range(2900)))}
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id string, t array<string>")
+    pairs, members = matching.jaccard_pairs(df, "id", "t", threshold)
+    reps = sorted({r["rep"] for r in members.collect()})
+    want = [(a, b, jac(sets[a], sets[b])) for a in reps for b in reps if a < b and jac(sets[a], sets[b]) >= threshold]
+    assert sorted(tuple(r) for r in pairs.collect()) == want and ("many", "more", 2900 / 3000) in want
+    # What meets goes into no exchange.
+    tree = plan(pairs).split("\n\n")[0]
+    assert "MapInArrow" in tree and not re.search("Exchange|Join|Aggregate", tree.split("MapInArrow")[0])
