@@ -219,3 +219,17 @@ def test_jaccard_pairs_are_compared_where_they_meet(spark, monkeypatch, threshol
     # What meets goes into no exchange.
     tree = plan(pairs).split("\n\n")[0]
     assert "MapInArrow" in tree and not re.search("Exchange|Join|Aggregate", tree.split("MapInArrow")[0])
+
+
+def test_title_pairs_of_an_id_under_two_titles(spark, tmp_path):
+    import duckdb
+
+    from presswerk.plans import texts
+
+    made = [(1, "Alpha Beta Gamma Delta Omega"), (1, "Zürich Bern Basel Genf Chur"), (2, "Alpha Beta Gamma Delta Sigma Omega"), (3, "Zürich Bern Basel Genf Chur Aarau"), (4, None), (5, ""), (None, "Bern Basel Genf Chur Aarau")]
+    made += [(10 + k, f"Alpha Genf Wort{k} Satz{k} Zeile{k}") for k in range(9)]
+    spark.createDataFrame(made, "id bigint, title string").write.parquet(f"{tmp_path}/articles.parquet")
+    got = sorted(tuple(r) for r in texts.QUERIES["title_jaccard_pairs"](spark, str(tmp_path)).collect())
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW articles AS SELECT * FROM '{tmp_path}/articles.parquet/*.parquet'")
+    assert got == sorted(duck.sql(texts.SQL["title_jaccard_pairs"]).fetchall()) == [(1, 2, 0.833333), (1, 3, 0.833333)]
