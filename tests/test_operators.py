@@ -233,3 +233,20 @@ def test_title_pairs_of_an_id_under_two_titles(spark, tmp_path):
     duck = duckdb.connect()
     duck.sql(f"CREATE VIEW articles AS SELECT * FROM '{tmp_path}/articles.parquet/*.parquet'")
     assert got == sorted(duck.sql(texts.SQL["title_jaccard_pairs"]).fetchall()) == [(1, 2, 0.833333), (1, 3, 0.833333)]
+
+
+def test_slug_pairs_move_sets_and_not_their_meetings(spark, tmp_path):
+    from presswerk.plans import texts
+
+    made = [(k, f"https://a.ch/wirtschaft/bank-meldet-konkurs-wort{k}x") for k in range(1500)] + [(2000, "https://a.ch/wirtschaft/bank-meldet-konkurs"), (2001, "https://a.ch/wirtschaft/bank-meldet")]
+    spark.createDataFrame(made, "id bigint, url string").write.parquet(f"{tmp_path}/articles.parquet")
+
+    def written():
+        found = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+        return sum(found.apply(k).totalShuffleWrite() for k in range(found.size()))
+
+    before = written()
+    got = {tuple(r) for r in texts.QUERIES["slug_jaccard_pairs"](spark, str(tmp_path)).collect()}
+    assert got == {(k, 2000, 0.8) for k in range(1500)}
+    # All 1,500 meet in a common word: a million meetings.
+    assert written() - before < 1_000_000
