@@ -235,6 +235,36 @@ def test_title_pairs_of_an_id_under_two_titles(spark, tmp_path):
     assert got == sorted(duck.sql(texts.SQL["title_jaccard_pairs"]).fetchall()) == [(1, 2, 0.833333), (1, 3, 0.833333)]
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8])
+def test_jaccard_pairs_that_meet_in_busy_tokens(spark, monkeypatch, threshold):
+    monkeypatch.setattr(matching, "TILE", 6)
+    r = random.Random(7)
+    sets = {i: frozenset(r.sample("abcdefghijk", r.choice([1, 1, 2, 2, 3, 4, 6, 9, 10]))) for i in range(300)}
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id int, t array<string>")
+    pairs, members = matching.jaccard_pairs(df, "id", "t", threshold)
+    reps = sorted({r["rep"] for r in members.collect()})
+    want = [(a, b, jac(sets[a], sets[b])) for a in reps for b in reps if a < b and jac(sets[a], sets[b]) >= threshold]
+    assert sorted(tuple(r) for r in pairs.collect()) == want and want
+
+
+def shuffled(spark):
+    found = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    return sum(found.apply(k).totalShuffleWrite() for k in range(found.size()))
+
+
+def test_title_pairs_of_busy_words_are_not_copied_to_tiles(spark, tmp_path, monkeypatch):
+    from presswerk.plans import texts
+
+    monkeypatch.setattr(matching, "TILE", 12)
+    made = [(144 * i + 12 * j + k, f"Firma{i} Ort{j} Sache{k} meldet Konkurs") for i in range(12) for j in range(12) for k in range(12)] + [(2000 + i, f"Firma{i} Ort{i} Sache{i} Konkurs") for i in range(12)]
+    spark.createDataFrame(made, "id bigint, title string").write.parquet(f"{tmp_path}/articles.parquet")
+    before = shuffled(spark)
+    got = {tuple(r) for r in texts.QUERIES["title_jaccard_pairs"](spark, str(tmp_path)).collect()}
+    assert got == {(157 * i, 2000 + i, 0.8) for i in range(12)}
+    # Each firm and place stands in 144 titles, so in twelve tiles; with the next word in common each title is one of twelve.
+    assert shuffled(spark) - before < 400_000
+
+
 def test_slug_pairs_move_sets_and_not_their_meetings(spark, tmp_path):
     from presswerk.plans import texts
 
