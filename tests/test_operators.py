@@ -280,3 +280,16 @@ def test_slug_pairs_move_sets_and_not_their_meetings(spark, tmp_path):
     assert got == {(k, 2000, 0.8) for k in range(1500)}
     # All 1,500 meet in a common word: a million meetings.
     assert written() - before < 1_000_000
+
+
+def test_slug_pairs_move_no_words_that_stand_once(spark, tmp_path):
+    from presswerk.plans import texts
+
+    r = random.Random(8)
+    made = [(k, "https://a.ch/" + "-".join([f"einmal{k}x{x}" for x in range(2)] + [f"wort{x}x" for x in r.sample(range(200), 12)])) for k in range(1500)]
+    made += [(5000 + k, made[k][1].replace("einmal", "neu", 1)) for k in range(5)] + [(6000, "https://a.ch/ganz-allein"), (6001, "https://a.ch/wort1x")]
+    spark.createDataFrame(made, "id bigint, url string").write.parquet(f"{tmp_path}/articles.parquet")
+    before = shuffled(spark)
+    got = {tuple(r) for r in texts.QUERIES["slug_jaccard_pairs"](spark, str(tmp_path)).collect()}
+    assert got == {(k, 5000 + k, 0.866667) for k in range(5)}
+    assert shuffled(spark) - before < 350_000
